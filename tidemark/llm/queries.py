@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import packing, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
+    "op8_hierarchical_packing": packing.op8,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
