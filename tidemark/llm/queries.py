@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, warc
+from . import mixing, packing, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
     "op8_hierarchical_packing": packing.op8,
+    "op4_pivotal_mixing": mixing.op4,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
