@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, warc
+from . import mixing, near_vectors, packing, sharding, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
     "op8_hierarchical_packing": packing.op8,
     "op4_pivotal_mixing": mixing.op4,
     "op3_label_propagation": sharding.op3,
+    "op7_embedding_near_dedup": near_vectors.op7,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
