@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_vectors, packing, sharding, warc
+from . import mixing, near_vectors, neighbours, packing, sharding, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pivotal_mixing": mixing.op4,
     "op3_label_propagation": sharding.op3,
     "op7_embedding_near_dedup": near_vectors.op7,
+    "op6_ivf_pq": neighbours.op6,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
