@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_vectors, neighbours, packing, sharding, warc
+from . import langid, mixing, near_vectors, neighbours, packing, sharding, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_label_propagation": sharding.op3,
     "op7_embedding_near_dedup": near_vectors.op7,
     "op6_ivf_pq": neighbours.op6,
+    "op9_language_id": langid.op9,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
