@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, near_vectors, neighbours, packing, sharding, warc
+from . import langid, lines, mixing, near_vectors, neighbours, packing, sharding, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_embedding_near_dedup": near_vectors.op7,
     "op6_ivf_pq": neighbours.op6,
     "op9_language_id": langid.op9,
+    "op2_line_dedup": lines.op2,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
