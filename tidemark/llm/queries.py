@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, near_vectors, neighbours, ngram_join, packing, sharding, warc
+from . import langid, lines, mixing, near_vectors, neighbours, ngram_join, packing, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_language_id": langid.op9,
     "op2_line_dedup": lines.op2,
     "op5_ngram_jaccard_join": ngram_join.op5,
+    "op1_suffix_array_dedup": suffix_dedup.op1,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
