@@ -373,14 +373,28 @@ def repeats(group: list[tuple], common: list[int]):
         parent[b] = a
 
 
+def _united(spans: np.ndarray) -> np.ndarray:
+    """Overlapping spans (uid, start, end) of a text as one."""
+    spans = spans[np.lexsort([spans[:, 1], spans[:, 0]])]
+    new = np.append(True, spans[1:, 0] != spans[:-1, 0])
+    high = np.cumsum(new) * (int(spans[:, 2].max()) + 1)  # ends of each text above those of the text before
+    end = np.maximum.accumulate(spans[:, 2] + high)
+    new[1:] |= spans[1:, 1] + high[1:] > end[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(spans)) - 1
+    return np.column_stack([spans[first, :2], end[last] - high[last]])
+
+
 _SORTED = "shard int, data binary"
 _sorted = _record(_SORTED)
 
 
 def _sort_runs(batches, splitters: list[bytes]):
     """Each task's suffixes as sorted, front-coded parts by range; what repeats within
-    the task is reported at once (shard -1) and sent once."""
-    run, size = [], 0
+    the task is reported at once (shards below 0) and sent once."""
+    from pyspark import TaskContext
+
+    run, size, spread = [], 0, TaskContext.get().partitionId()
 
     def flush():
         run.sort()
@@ -399,7 +413,7 @@ def _sort_runs(batches, splitters: list[bytes]):
             if b > a:
                 rows.append((k, front_code(kept[a:b])))
         if spans:
-            rows.append((-1, np.array(spans, np.int64).tobytes()))
+            rows.append((-1 - spread % (len(splitters) + 1), _united(np.array(spans, np.int64)).tobytes()))
         return rows
 
     for batch in batches:
@@ -412,6 +426,7 @@ def _sort_runs(batches, splitters: list[bytes]):
             if size > 8 * 150_000:
                 yield _sorted(flush())
                 run, size = [], 0
+                spread += 7
     if run:
         yield _sorted(flush())
 
@@ -428,8 +443,7 @@ def _merge_runs(batches, splitters: list[bytes]):
         out: list = []
         if own < 0:
             for x in data:
-                out += [(0, u, s, e, None, 1) for u, s, e in np.frombuffer(x, np.int64).reshape(-1, 3).tolist()]
-            yield _found(out)
+                yield _found([(0, u, s, e, None, 1) for u, s, e in np.frombuffer(x, np.int64).reshape(-1, 3).tolist()])
             continue
         ends = [x for x in (splitters[own - 1] if own else None, splitters[own] if own < len(splitters) else None) if x is not None]
         windows: dict[bytes, list] = {}
@@ -440,8 +454,8 @@ def _merge_runs(batches, splitters: list[bytes]):
             nonlocal group, common
             spans: dict = {}
             for s, a, e in repeats(group, common):
-                spans[s[2], s[3], a] = max(e, spans.get((s[2], s[3], a), 0))
-            out += [(0, u, a, e, None, 1) for (u, _, a), e in spans.items()]
+                spans[s[2], a] = max(e, spans.get((s[2], a), 0))
+            out += [(0, u, a, e, None, 1) for (u, a), e in spans.items()]
             for s in group:
                 reach = max((shared(s[0], x) for x in ends), default=0)
                 if reach >= GRAM:
@@ -472,9 +486,9 @@ def _merge_runs(batches, splitters: list[bytes]):
             yield _found(out[at : at + 50_000])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes that stay)
-    for every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked for kept (the bytes
+    that stay) for every row of ``docs`` (doc_id, text).
 
     Null texts are empty; matches never cross texts; rows that repeat a text lose it
     whole if it has 200 bytes. A null doc_id is an id like others. No rows, no result.
@@ -525,16 +539,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     parts.append(text[at:s])
                     at = e
                 rest = b"".join([*parts, text[at:]])
-                out.append((doc_id.as_py(), size, size - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest))
+                out.append((doc_id.as_py(), size, size - len(rest), len(cut), hashlib.sha256(rest).hexdigest(), rest if with_kept else None))
             if out:
                 types = [*[pa.int64()] * 4, pa.string(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     whole = docs.join(spans, ["doc_id", "digest"]).select("doc_id", "text", "n", "spans")
     out = whole.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NULL)))
+    out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NULL)))
+    return out if with_kept else out.drop("kept")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_kept=False)
