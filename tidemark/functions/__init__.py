@@ -1 +1 @@
-
+"""Column functions: tokenizers and scalar helpers."""

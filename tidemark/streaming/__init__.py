@@ -1 +1 @@
-
+"""The recommender is batch only: no operator of it streams."""
