@@ -23,50 +23,53 @@ from .common import stash, table
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the sketch, a byte each in every task.
-COUNTERS = 1 << 20
+#: Counters of the sketch, a number each in every task.
+COUNTERS = 1 << 18
 #: Bytes of the map that marks the lines whose sets are needed.
 MARKS = 1 << 22
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def _grams(line: Column) -> Column:
-    """Hashes of the word 5-grams, repeats included; null for fewer than five words."""
+def _fives(line: Column) -> Column:
+    """The word 5-grams as structs, repeats included; none for fewer than five words."""
 
     def of(words: Column) -> Column:
-        five = lambda i: F.xxhash64(*[words[i + k] for k in range(WORDS)])
-        return F.when(F.size(words) >= WORDS, F.transform(F.sequence(F.lit(0), F.size(words) - WORDS), five))
+        shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - WORDS + 1, F.lit(0))).alias(f"w{k}") for k in range(WORDS)]
+        return F.arrays_zip(*shifted)
 
     # bound by a lambda, so that the optimizer can't evaluate the words once for each use
     return F.transform(F.array(F.split(F.lower(F.trim(line, F.lit(_BLANK))), _SPACE)), of)[0]
 
 
+def _grams(line: Column) -> Column:
+    """Their hashes."""
+    return F.transform(_fives(line), lambda g: F.xxhash64(g))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _byte_map(df: DataFrame, bucket: str, level: Column, size: int) -> bytes:
+def _cells(df: DataFrame, bucket: str, level: Column, size: int) -> bytearray:
     """A byte for each bucket of ``df``; ``size`` bounds what comes to the driver."""
     cells = F.sort_array(F.collect_list(F.concat(F.lpad(F.hex(F.col(bucket) % 4096), 3, "0"), F.lpad(F.hex(level), 2, "0"))))
     out = bytearray(size)
-    for row in df.groupBy(F.floor(F.col(bucket) / 4096).alias("k")).agg(F.concat_ws("", cells).alias("s")).toLocalIterator():
+    for row in df.groupBy(F.floor(F.col(bucket) / 4096).alias("k")).agg(F.concat_ws("", cells).alias("s")).collect():
         s, base = row["s"], row["k"] * 4096
         for at in range(0, len(s), 5):
             out[base + int(s[at : at + 3], 16)] = int(s[at + 3 : at + 5], 16)
-    return bytes(out)
-
-
-def _byte_at(map_: bytes, at: Column) -> Column:
-    return F.ascii(F.substring(F.lit(map_), at.cast("int") + 1, F.lit(1)).cast("string"))
+    return out
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """Per counter, four times the binary logarithm of the tokens that it has counted."""
-    tokens = _lines(docs).select(F.explode_outer(_grams(F.col("line"))).alias("g"))  # outer: adds no filter that computes them again
-    counts = tokens.select(F.pmod("g", F.lit(COUNTERS)).alias("b")).where("b is not null").groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    return _byte_map(counts, "b", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int"), COUNTERS)
+def rarity(docs: DataFrame) -> Column:
+    """An array constant: per counter, four times the binary logarithm of the tokens
+    that it has counted, in the top byte of a long."""
+    tokens = _lines(docs).select(F.explode_outer(_fives(F.col("line"))).alias("g"))  # outer: adds no filter that computes them again
+    counts = tokens.where("g is not null").groupBy(F.pmod(F.xxhash64("g"), F.lit(COUNTERS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    levels = _cells(counts, "b", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int"), COUNTERS)
+    return F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")  # folded once, by the optimizer
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -87,7 +90,7 @@ def line_matches(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     levels = rarity(docs)
-    rank = lambda g: F.shiftleft(_byte_at(levels, F.pmod(g, F.lit(COUNTERS))).cast("long"), 56).bitwiseOR(g.bitwiseAND(F.lit((1 << 56) - 1)))
+    rank = lambda g: levels[F.pmod(g, F.lit(COUNTERS))].bitwiseOR(g.bitwiseAND(F.lit((1 << 56) - 1)))
     low = lambda t: t.bitwiseAND(F.lit((1 << 32) - 1)).cast("long")
 
     def described(set_: Column) -> Column:
@@ -111,8 +114,8 @@ def line_matches(docs: DataFrame) -> DataFrame:
     # the whole sets of the lines that share a prefix token
     wanted = posts.select("doc_id", "line_no").distinct()
     where = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(MARKS))
-    marks = _byte_map(wanted.select(where.alias("b")).distinct(), "b", F.lit(1), MARKS)
-    marked = _lines(docs).where(_byte_at(marks, where) == 1)
+    marks = bytes(_cells(wanted.select(where.alias("b")).distinct(), "b", F.lit(1), MARKS))
+    marked = _lines(docs).where(F.substring(F.lit(marks), where.cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
     whole = marked.join(wanted, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _grams(F.col("line")).alias("grams"))
     whole = stash(whole.select("doc_id", "line_no", F.array_distinct("grams").alias("set")), "sets")
 
@@ -135,6 +138,7 @@ def line_matches(docs: DataFrame) -> DataFrame:
     b = posts.join(settled, ["doc_id", "line_no"], "left_anti")
     b = b.select("token", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
     met = a.join(b, "token").where("ad < bd or (ad = bd and al < bl)").where(_similar_size(F.col("an"), F.col("bn")))
+    met = met.where(F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= _need(F.col("an"), F.col("bn")))
     met = met.groupBy("ad", "al", "bd", "bl", "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
     met = met.where(F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1 >= _need(F.col("an"), F.col("bn")))
     rest = verified(met.select("ad", "al", "bd", "bl"))
