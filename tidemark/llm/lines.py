@@ -24,9 +24,9 @@ from .common import stash, table
 WORDS = 5
 PERCENT = 75
 #: Counters of the sketch, a number each in every task.
-COUNTERS = 1 << 18
-#: Bytes of the map that marks the lines whose sets are needed.
-MARKS = 1 << 22
+COUNTERS = 1 << 16
+#: Bits of the map that marks the lines whose sets are needed, seven to a byte.
+MARKS = 7 << 18
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -65,11 +65,11 @@ def _cells(df: DataFrame, bucket: str, level: Column, size: int) -> bytearray:
 
 def rarity(docs: DataFrame) -> Column:
     """An array constant: per counter, four times the binary logarithm of the tokens
-    that it has counted, in the top byte of a long."""
+    that it has counted."""
     tokens = _lines(docs).select(F.explode_outer(_fives(F.col("line"))).alias("g"))  # outer: adds no filter that computes them again
     counts = tokens.where("g is not null").groupBy(F.pmod(F.xxhash64("g"), F.lit(COUNTERS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     levels = _cells(counts, "b", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int"), COUNTERS)
-    return F.split(F.lit(",".join(str(x << 56) for x in levels)), ",").cast("array<bigint>")  # folded once, by the optimizer
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # folded once, by the optimizer
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -90,7 +90,7 @@ def line_matches(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     levels = rarity(docs)
-    rank = lambda g: levels[F.pmod(g, F.lit(COUNTERS))].bitwiseOR(g.bitwiseAND(F.lit((1 << 56) - 1)))
+    rank = lambda g: F.shiftleft(levels[F.pmod(g, F.lit(COUNTERS))], 56).bitwiseOR(g.bitwiseAND(F.lit((1 << 56) - 1)))
     low = lambda t: t.bitwiseAND(F.lit((1 << 32) - 1)).cast("long")
 
     def described(set_: Column) -> Column:
@@ -114,8 +114,11 @@ def line_matches(docs: DataFrame) -> DataFrame:
     # the whole sets of the lines that share a prefix token
     wanted = posts.select("doc_id", "line_no").distinct()
     where = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(MARKS))
-    marks = bytes(_cells(wanted.select(where.alias("b")).distinct(), "b", F.lit(1), MARKS))
-    marked = _lines(docs).where(F.substring(F.lit(marks), where.cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+    bits = wanted.select(where.alias("b")).groupBy(F.floor(F.col("b") / 7).alias("byte"))
+    bits = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("b") % 7).cast("int"))).alias("bits"))
+    marks = bytes(_cells(bits, "byte", F.col("bits"), MARKS // 7))
+    byte = F.ascii(F.substring(F.lit(marks), F.floor(where / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    marked = _lines(docs).where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (where % 7).cast("int"))) != 0)
     whole = marked.join(wanted, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _grams(F.col("line")).alias("grams"))
     whole = stash(whole.select("doc_id", "line_no", F.array_distinct("grams").alias("set")), "sets")
 
