@@ -187,6 +187,29 @@ def test_ngram_join(docs, empty, texts):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_ngram_join_where_the_differences_are_frequent(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    passages = [prose(int(rng.integers(8, 14))) for _ in range(12)]
+    texts = []
+    for _ in range(60):  # three of a family end in passages of other families; rare hashes come first
+        base, rare = prose(100), [prose(7), prose(7)]
+        for k in range(3):
+            texts.append("\n".join([rare[k % 2], base, *rng.choice(passages, 1, replace=False)]))
+        texts += [r + "\n" + prose(60) for r in rare]
+    sets = [shingles(t) for t in texts]
+    part = list(range(len(sets)))
+    for _ in range(5):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    part[i] = part[j] = min(part[i], part[j])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(rows).collect()}
+    assert got == dict(enumerate(part))
+
+
 def test_prefix_tree_walk():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)]

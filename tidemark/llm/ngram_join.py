@@ -424,7 +424,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     meet = side("a").join(side("b"), "token").where((F.col("uid_a") < F.col("uid_b")) & (F.col("part_a") != F.col("part_b")))
     meet = meet.where((100 * least >= PERCENT * most) & (room >= need))
-    meet = meet.groupBy("uid_a", "uid_b").agg(F.max("token").alias("token"))  # one bucket a pair
+    # one bucket a pair, that of its first common hash: the walk counts only what comes after
+    meet = meet.groupBy("uid_a", "uid_b").agg(F.min("token").alias("token"))
     put = meet.select("token", F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct()
     counts = put.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     put = put.join(counts.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
