@@ -29,19 +29,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return d.withColumn("lang", F.coalesce("_lang", "lang")).select(docs.columns)
 
 
+def _own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written with it, so that it stays."""
+    return stash(docs.withColumn("_row", F.monotonically_increasing_id()), "own-ids")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat or nearly repeat an earlier one."""
-    return dedup_lines(docs).select(docs.columns)
+    """Documents without the lines that repeat or nearly repeat an earlier one, in the
+    order of doc_id, rows without one last. Every row is a document of its own."""
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    own = _own_ids(docs).withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.struct(last.alias("id"), F.col("_row").alias("row")))
+    return dedup_lines(own).withColumn("doc_id", F.col("_id")).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    groups = stash(ngram_components(docs.select("doc_id", "text")), "components")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    d = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows that share an id
-        d = d.dropDuplicates(["doc_id"])
-    return d
+    """One row of each group of near duplicates, that with the smallest doc_id (a null
+    one is the largest). Rows that share a doc_id, or have none, are told apart."""
+    own = _own_ids(docs)
+    groups = stash(ngram_components(own.select(F.col("_row").alias("doc_id"), "text")), "components")
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").join(own.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row").alias("row")))
+    kept = groups.groupBy("component_id").agg(first.alias("x")).select(F.col("x.row").alias("_row"))
+    return own.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

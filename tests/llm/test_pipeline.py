@@ -33,3 +33,19 @@ def test_run_equals_its_stages(spark, stages):
     a = pipeline.run(spark, FOLDER).groupBy("doc_id").agg({"length": "sum"})
     b = stages["packing"].groupBy("doc_id").agg({"length": "sum"})
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+D = "doc_id long, text string, lang string, source string, n_chars long, label string"
+
+
+def test_rows_without_an_own_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, None), (None, None), (7, text(2)), (7, text(3)), (3, text(3)), (9, text(0))]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], D).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.ngram_join(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=repr) == sorted([(None, text(1)), (None, None), (None, None), (7, text(2)), (3, text(3)), (9, text(0))], key=repr)
+
+    rows = [(7, text(0) + "\n" + text(1)), (7, text(2) + "\n" + text(3)), (8, text(4) + "\n" + text(1)), (None, text(5) + "\n" + text(4))]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], D).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.line_dedup(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=repr) == sorted([(7, rows[0][1]), (7, rows[1][1]), (8, text(4)), (None, text(5))], key=repr)
