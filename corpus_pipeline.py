@@ -39,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order of doc_id, rows without one last. Every row is a document of its own."""
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     own = _own_ids(docs).withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.struct(last.alias("id"), F.col("_row").alias("row")))
-    return dedup_lines(own).withColumn("doc_id", F.col("_id")).select(docs.columns)
+    return dedup_lines(own, short=True).withColumn("doc_id", F.col("_id")).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,6 +120,20 @@ def test_line_dedup(docs, empty, texts):
     assert lines.line_matches(empty).count() == 0
 
 
+def test_short_lines_count_where_asked(spark, docs, texts):
+    found, before = set(), []
+    for d, t in enumerate(texts):
+        for i, line in enumerate((t or "").split("\n")):
+            if s := shingles(line):
+                if any(100 * len(s & b) >= 75 * len(s | b) for b in before):
+                    found.add((d, i))
+                before.append(s)
+    assert {tuple(r) for r in lines.line_matches(docs, short=True).collect()} == found > matching_lines(texts)
+    few = [(0, "All rights reserved.\n\nb c"), (1, "all  RIGHTS reserved.\n\nc b\n \nb"), (2, "b c\nb c d")]
+    few = spark.createDataFrame(few, "doc_id long, text string")
+    assert {tuple(r) for r in lines.line_matches(few, short=True).collect()} == {(1, 0), (2, 0)}
+
+
 # op3
 
 

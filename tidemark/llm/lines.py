@@ -1,6 +1,7 @@
 """Line dedup: an exact set-similarity join of lines, later matches removed.
 
-A line's tokens are its distinct word 5-grams, lower-cased. Tokens are ordered from
+A line's tokens are its distinct word 5-grams, lower-cased; where short lines count,
+the whole sequence of one to four words is a line's only token. Tokens are ordered from
 rare to frequent by a count sketch of fixed size that covers the whole corpus (tokens
 share a counter, so rarity is approximate; any one order gives exact results). Two
 lines with a Jaccard similarity of 0.75 or more must share a token among the rarest
@@ -31,20 +32,22 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\x0c\r"
 
 
-def _fives(line: Column) -> Column:
-    """The word 5-grams as structs, repeats included; none for fewer than five words."""
+def _fives(line: Column, short: bool) -> Column:
+    """The word 5-grams as structs, repeats included; of one to four words none or, if
+    ``short``, their whole sequence, filled with nulls."""
 
     def of(words: Column) -> Column:
-        shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - WORDS + 1, F.lit(0))).alias(f"w{k}") for k in range(WORDS)]
+        least = F.when(words[0] == "", 0).otherwise(1) if short else F.lit(0)
+        shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - WORDS + 1, least)).alias(f"w{k}") for k in range(WORDS)]
         return F.arrays_zip(*shifted)
 
     # bound by a lambda, so that the optimizer can't evaluate the words once for each use
     return F.transform(F.array(F.split(F.lower(F.trim(line, F.lit(_BLANK))), _SPACE)), of)[0]
 
 
-def _grams(line: Column) -> Column:
+def _grams(line: Column, short: bool) -> Column:
     """Their hashes."""
-    return F.transform(_fives(line), lambda g: F.xxhash64(g))
+    return F.transform(_fives(line, short), lambda g: F.xxhash64(g))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -63,10 +66,10 @@ def _cells(df: DataFrame, bucket: str, level: Column, size: int) -> bytearray:
     return out
 
 
-def rarity(docs: DataFrame) -> Column:
+def rarity(docs: DataFrame, short: bool) -> Column:
     """An array constant: per counter, four times the binary logarithm of the tokens
     that it has counted."""
-    tokens = _lines(docs).select(F.explode_outer(_fives(F.col("line"))).alias("g"))  # outer: adds no filter that computes them again
+    tokens = _lines(docs).select(F.explode_outer(_fives(F.col("line"), short)).alias("g"))  # outer: adds no filter that computes them again
     counts = tokens.where("g is not null").groupBy(F.pmod(F.xxhash64("g"), F.lit(COUNTERS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     levels = _cells(counts, "b", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int"), COUNTERS)
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # folded once, by the optimizer
@@ -81,15 +84,16 @@ def _similar_size(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
-def line_matches(docs: DataFrame) -> DataFrame:
+def line_matches(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, line_no) of every line with an earlier match, in the order of doc_id and
     line_no; removed lines count as matches too.
 
-    Lines of fewer than five words are left alone. Null and empty texts have no lines
+    Lines of one to four words are left alone or, if ``short``, match those of the same
+    words; blank lines never match. Null and empty texts have no lines
     to remove; rows with the same doc_id are one document; other columns are ignored.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    levels = rarity(docs)
+    levels = rarity(docs, short)
     rank = lambda g: F.shiftleft(levels[F.pmod(g, F.lit(COUNTERS))], 56).bitwiseOR(g.bitwiseAND(F.lit((1 << 56) - 1)))
     low = lambda t: t.bitwiseAND(F.lit((1 << 32) - 1)).cast("long")
 
@@ -99,7 +103,7 @@ def line_matches(docs: DataFrame) -> DataFrame:
         prefix = F.transform(prefix, lambda t: (low(t) - (1 << 31)).cast("int"))
         return F.struct(F.xxhash64(set_).alias("k"), F.hash(set_).alias("h"), n.alias("n"), prefix.alias("prefix"))
 
-    set_ = F.sort_array(F.array_distinct(F.transform(_grams(F.col("line")), rank)))
+    set_ = F.sort_array(F.array_distinct(F.transform(_grams(F.col("line"), short), rank)))
     lines = _lines(docs).select("doc_id", "line_no", F.transform(F.array(set_), described)[0].alias("x"))
     lines = stash(lines.select("doc_id", "line_no", "x.*"), "lines").where("n > 0")
     at = F.struct("doc_id", "line_no")
@@ -119,7 +123,7 @@ def line_matches(docs: DataFrame) -> DataFrame:
     marks = bytes(_cells(bits, "byte", F.col("bits"), MARKS // 7))
     byte = F.ascii(F.substring(F.lit(marks), F.floor(where / 7).cast("int") + 1, F.lit(1)).cast("string"))
     marked = _lines(docs).where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (where % 7).cast("int"))) != 0)
-    whole = marked.join(wanted, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _grams(F.col("line")).alias("grams"))
+    whole = marked.join(wanted, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _grams(F.col("line"), short).alias("grams"))
     whole = stash(whole.select("doc_id", "line_no", F.array_distinct("grams").alias("set")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -153,10 +157,10 @@ def line_matches(docs: DataFrame) -> DataFrame:
     return copies.unionByName(near.select("doc_id", "line_no")).distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` without the lines of :func:`line_matches`, joined again by line feeds;
     documents that lose all lines go. n_chars, where there, is the new length."""
-    removed = line_matches(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))  # at most a document's lines
+    removed = line_matches(docs, short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))  # at most a document's lines
     d = docs.join(removed, "doc_id", "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_removed", i))
@@ -168,7 +172,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go, and their numbers from 0."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    removed = line_matches(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    removed = line_matches(docs, short=True).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     n = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).cast("long").alias("n_lines"))
     d = n.join(removed, "doc_id", "left")
     numbers = F.coalesce("removed", F.array().cast("array<int>"))
