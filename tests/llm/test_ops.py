@@ -72,6 +72,13 @@ def test_suffix_dedup(docs, empty, texts):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_short_texts_only(spark):
+    few = [None, "", "a", "ab" * 40, "ab" * 40, "é", None, "x" * 150]
+    d = spark.createDataFrame(list(enumerate(few)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(d).collect()}
+    assert got == {i: (len(b), 0, b) for i, b in enumerate((t or "").encode() for t in few)}
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 7):

@@ -57,11 +57,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the windows of ``data``: runs that share a suffix, as (hash, suffix, first
-    window, last window). Windows across text ends are the caller's to drop."""
+    """The hashes of the suffixes of ``data``, and the suffix that each window selects.
+    Windows across text ends are the caller's to drop."""
     n = len(data)
     if n < LENGTH:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     total = np.concatenate([[_U(0)], np.cumsum(_BYTE[data] * _POWER[:n], dtype=np.uint64)])
     h = _mixed((total[GRAM:] - total[:-GRAM]) * _BACK[: n - GRAM + 1])
     least = (h & ~_U((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)  # ties: the first
