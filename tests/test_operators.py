@@ -114,3 +114,12 @@ def test_dirty_csv(spark, tmp_path):
     got = {r["item_id"]: r for r in readers.item_meta(spark, str(tmp_path / "m.csv")).collect()}
     assert got[1]["title"] == 'a, "b"\nc' and got[1]["price"] is None and got[1]["store"] is None and got[2]["price"] == 3.5
     assert readers.cached(spark, str(tmp_path / "none")) is None
+
+
+def test_negatives_of_a_user_with_nearly_every_item():
+    from tidemark.operators.bpr import _draw
+
+    own = set(range(1000)) - {17, 600}
+    drawn = [_draw(1, 0, 5, i, 1000, own) for i in range(300)]
+    assert set(drawn) == {17, 600} and 100 < drawn.count(17) < 200
+    assert _draw(1, 0, 5, 3, 1000, set(range(1000))) is None
