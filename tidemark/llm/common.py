@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,13 @@ def ship(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession) -> str:
     """A folder of this application inside the shared folder that
-    ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
+    ``spark.checkpoint.dir`` names; a temporary one only where that is unset and the
+    master is local."""
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tidemark-scratch-")
         _SCRATCH[app] = f"{base.rstrip('/')}/tidemark-{app}-{uuid.uuid4().hex[:6]}"
@@ -58,22 +63,44 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared scratch folder and
     read it back. Lost executors don't lose what is written."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete a table made by :func:`stash` that nothing reads any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        _remove(df.sparkSession, path)
+def drop_stash(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stash` that nothing reads any more. The driver's JVM
+    then collects its garbage, on which Spark deletes the shuffle files of what is over."""
+    for df in tables:
+        if path := getattr(df, "_tidemark_path", None):
+            _remove(df.sparkSession, path)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+_ROWWISE = {"Project", "Filter", "SubqueryAlias"}
+
+
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long that tells rows apart, even equal ones, and is the same
+    whenever ``df`` is computed: by the row's place in its Parquet file where ``df``
+    reads one row by row, else by a number that is written with the row."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ROWWISE:
+        plan = plan.children().head()
+    try:
+        if plan.children().isEmpty() and " parquet" in plan.toString():
+            at = df.metadataColumn("_metadata")
+            return df.withColumn(name, F.xxhash64(at["file_path"], at["row_index"]))
+    except AnalysisException:
+        pass  # not a file after all
+    return stash(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,17 +1,18 @@
 """Line dedup: an exact set-similarity join of lines, later matches removed.
 
-A line's tokens are its distinct word 5-grams, lower-cased; where short lines count,
-the whole sequence of one to four words is a line's only token. Tokens are ordered from
-rare to frequent by a count sketch of fixed size that covers the whole corpus (tokens
-share a counter, so rarity is approximate; any one order gives exact results). Two
-lines with a Jaccard similarity of 0.75 or more must share a token among the rarest
-quarter of each (prefix filter), at places that leave room for the overlap they need
-(positional filter), and be of similar size (length filter). Pairs that pass are
-verified on their whole sets.
+A line's tokens are its distinct word 5-grams, lower-cased, by 64-bit hashes of theirs;
+where short lines count, the whole sequence of one to four words is a line's only token.
+Tokens are ordered from rare to frequent by counters of all lines that have them. The
+number of counters grows with the tokens, up to a bound; tokens share a counter, so
+rarity is approximate, and any one order gives exact results. Two lines with a Jaccard
+similarity of 0.75 or more must share a token among the rarest quarter of each (prefix
+filter), at places that leave room for the overlap they need (positional filter), and
+be of similar size (length filter). Pairs that pass are verified on their whole sets.
 
 Lines with equal sets are collapsed first. A line is then compared with the first and
 the preceding line under each of its prefix tokens; most copies are settled so, and
-only lines that are not meet all others under their tokens. DataFrame functions only.
+only lines that are not meet all others under their tokens. Tokens that stand out as
+frequent are split by line for that. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,59 +21,64 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import drop_stash, stash, table, with_row
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the sketch, a number each in every task.
-COUNTERS = 1 << 16
-#: Bits of the map that marks the lines whose sets are needed, seven to a byte.
-MARKS = 7 << 18
-_SPACE = r"[\x20\x09-\x0D]+"
-_BLANK = " \t\n\x0b\x0c\r"
+#: Least and most counters of tokens, eight bytes each in every task.
+COUNTERS = 1 << 16, 1 << 20
+#: Tokens for each counter, while there are fewer than the most.
+LOAD = 1 << 14
+#: Least and most bits of the map that marks lines whose sets are needed, in every task.
+MARKS = 63 << 12, 63 << 19
+#: Lines under a token that one task compares with their neighbours.
+HOT = 1 << 16
+_ODD = "\t\x0b\x0c\r"
+_LAST = (1 << 63) - 1
 
 
-def _fives(line: Column, short: bool) -> Column:
-    """The word 5-grams as structs, repeats included; of one to four words none or, if
-    ``short``, their whole sequence, filled with nulls."""
+def _let(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
-    def of(words: Column) -> Column:
-        least = F.when(words[0] == "", 0).otherwise(1) if short else F.lit(0)
-        shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - WORDS + 1, least)).alias(f"w{k}") for k in range(WORDS)]
-        return F.arrays_zip(*shifted)
 
-    # bound by a lambda, so that the optimizer can't evaluate the words once for each use
-    return F.transform(F.array(F.split(F.lower(F.trim(line, F.lit(_BLANK))), _SPACE)), of)[0]
+def _grams(line: Column, short: bool) -> Column:
+    """The distinct hashes of the word 5-grams; of one to four words none or, if
+    ``short``, that of their sequence."""
 
+    def fives(h: Column) -> Column:
+        five = F.transform(F.slice(h, F.lit(1), F.size(h) - WORDS + 1), lambda x, i: F.xxhash64(x, *[h[i + k] for k in range(1, WORDS)]))
+        few = F.slice(F.array(F.xxhash64(h)), 1, F.least(F.size(h), F.lit(int(short))))
+        return F.when(F.size(h) >= WORDS, five).otherwise(few)
 
-def _grams(line: Column, short: bool) -> Column:
-    """Their hashes."""
-    return F.transform(_fives(line, short), lambda g: F.xxhash64(g))
+    words = F.array_remove(F.split(F.lower(line), " "), "")
+    return F.array_distinct(_let(F.transform(words, lambda w: F.xxhash64(w)), fives))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _lines(docs: DataFrame, key: list[str]) -> DataFrame:
+    """key, line_no, line; all white space in a line as spaces."""
+    odd = F.lit(False)
+    for c in _ODD:
+        odd = odd | F.contains("text", F.lit(c))
+    text = F.when(odd, F.regexp_replace("text", f"[{_ODD}]", " ")).otherwise(F.col("text"))
+    return docs.select(*key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def _cells(df: DataFrame, bucket: str, level: Column, size: int) -> bytearray:
-    """A byte for each bucket of ``df``; ``size`` bounds what comes to the driver."""
-    cells = F.sort_array(F.collect_list(F.concat(F.lpad(F.hex(F.col(bucket) % 4096), 3, "0"), F.lpad(F.hex(level), 2, "0"))))
-    out = bytearray(size)
-    for row in df.groupBy(F.floor(F.col(bucket) / 4096).alias("k")).agg(F.concat_ws("", cells).alias("s")).collect():
-        s, base = row["s"], row["k"] * 4096
-        for at in range(0, len(s), 5):
-            out[base + int(s[at : at + 3], 16)] = int(s[at + 3 : at + 5], 16)
-    return out
+def _level(n: Column) -> Column:
+    """Four times the binary logarithm, from 1."""
+    return F.least(F.lit(127), 1 + F.floor(4 * F.log2(n))).cast("tinyint")
 
 
-def rarity(docs: DataFrame, short: bool) -> Column:
-    """An array constant: per counter, four times the binary logarithm of the tokens
-    that it has counted."""
-    tokens = _lines(docs).select(F.explode_outer(_fives(F.col("line"), short)).alias("g"))  # outer: adds no filter that computes them again
-    counts = tokens.where("g is not null").groupBy(F.pmod(F.xxhash64("g"), F.lit(COUNTERS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    levels = _cells(counts, "b", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int"), COUNTERS)
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # folded once, by the optimizer
+def rarity(grams: DataFrame) -> tuple[DataFrame, int, int]:
+    """(one row with an array: per counter, the level of the lines it has counted, in the
+    highest byte; the number of counters; the level from which a token stands out)."""
+    n = grams.agg(F.sum(F.size("grams"))).first()[0] or 1
+    counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (n // LOAD).bit_length()))
+    counts = grams.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(counters - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("b", _level(F.col("n")).alias("x")).unionByName(grams.sparkSession.range(counters).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("tinyint").alias("x")))
+    levels = counts.groupBy("b").agg(F.max("x").alias("x")).agg(F.sort_array(F.collect_list(F.struct("b", F.shiftleft(F.col("x").cast("long"), 56).alias("x"))))["x"].alias("levels"))  # a row per counter
+    hot = max(HOT, 4 * n // counters)
+    return stash(levels, "rarity"), counters, 1 + 4 * (hot.bit_length() - 1)
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -84,96 +90,139 @@ def _similar_size(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
-def line_matches(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(doc_id, line_no) of every line with an earlier match, in the order of doc_id and
-    line_no; removed lines count as matches too.
+def _first(key: list[str], a: str, b: str) -> Column:
+    """Whether the line (key with prefix a) stands before (key with prefix b)."""
+    out = F.lit(False)
+    for c in reversed(key):
+        out = (F.col(a + c) < F.col(b + c)) | ((F.col(a + c) == F.col(b + c)) & out)
+    return out
+
+
+def _marked(wanted: DataFrame, at: list[str]) -> tuple[DataFrame, Column]:
+    """(a row with a bit map of the hashes of ``wanted``; whether a row may be wanted)."""
+    n = wanted.agg(F.approx_count_distinct(F.xxhash64(*at))).first()[0]
+    bits = min(MARKS[1], max(MARKS[0], 63 * (1 << (n // 8).bit_length())))
+    where = F.pmod(F.xxhash64(*at), F.lit(bits))
+    shift = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*at), F.lit(63)).cast("int"))
+    words = wanted.select(F.floor(where / 63).cast("int").alias("word"), shift().alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = words.unionByName(wanted.sparkSession.range(bits // 63).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits")))
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("map"))
+    marks = stash(words, "marks")
+    return marks, marks.scalar()[F.floor(where / 63).cast("int")].bitwiseAND(shift()) != 0
+
+
+def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(key, line_no) of every line with an earlier match, in the order of the columns
+    ``key`` and line_no; removed lines count as matches too.
 
     Lines of one to four words are left alone or, if ``short``, match those of the same
-    words; blank lines never match. Null and empty texts have no lines
-    to remove; rows with the same doc_id are one document; other columns are ignored.
+    words; blank lines never match. Null and empty texts have no lines to remove; rows
+    with the same key are one document, those with a null in it are left alone; other
+    columns are ignored.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    levels = rarity(docs, short)
-    rank = lambda g: F.shiftleft(levels[F.pmod(g, F.lit(COUNTERS))], 56).bitwiseOR(g.bitwiseAND(F.lit((1 << 56) - 1)))
-    low = lambda t: t.bitwiseAND(F.lit((1 << 32) - 1)).cast("long")
+    key = list(key)
+    at = [*key, "line_no"]
+    docs = docs.select(*key, "text").where(" and ".join(f"`{c}` is not null" for c in [*key, "text"]))
+    grams = _lines(docs, key).select(*at, _grams(F.col("line"), short).alias("grams"))
+    grams = stash(grams, "grams", compression="lz4")
+    levels, counters, hot = rarity(grams)
+    rank = lambda lv: F.transform("grams", lambda g: lv[g.bitwiseAND(F.lit(counters - 1).cast("long"))].bitwiseOR(F.shiftrightunsigned(g, 8)))
 
     def described(set_: Column) -> Column:
         n = F.size(set_)
         prefix = F.slice(set_, F.lit(1), n - F.ceil(F.lit(PERCENT) * n / 100).cast("int") + 1)
-        prefix = F.transform(prefix, lambda t: (low(t) - (1 << 31)).cast("int"))
-        return F.struct(F.xxhash64(set_).alias("k"), F.hash(set_).alias("h"), n.alias("n"), prefix.alias("prefix"))
-
-    set_ = F.sort_array(F.array_distinct(F.transform(_grams(F.col("line"), short), rank)))
-    lines = _lines(docs).select("doc_id", "line_no", F.transform(F.array(set_), described)[0].alias("x"))
-    lines = stash(lines.select("doc_id", "line_no", "x.*"), "lines").where("n > 0")
-    at = F.struct("doc_id", "line_no")
-    classes = lines.groupBy("k", "h").agg(F.min(at).alias("at"), F.min_by("prefix", at).alias("prefix"), F.min("n").alias("n"))
-    posts = classes.select("at.doc_id", "at.line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    by = W.partitionBy("token")
-    order = by.orderBy("doc_id", "line_no")
-    mine = F.struct("doc_id", "line_no", "n", "pos")
-    posts = posts.withColumns({"many": F.count(F.lit(1)).over(by), "first": F.first(mine).over(order), "prior": F.lag(mine).over(order)})
-    posts = stash(posts.where("many > 1").drop("many"), "postings")
-
-    # the whole sets of the lines that share a prefix token
-    wanted = posts.select("doc_id", "line_no").distinct()
-    where = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(MARKS))
-    bits = wanted.select(where.alias("b")).groupBy(F.floor(F.col("b") / 7).alias("byte"))
-    bits = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("b") % 7).cast("int"))).alias("bits"))
-    marks = bytes(_cells(bits, "byte", F.col("bits"), MARKS // 7))
-    byte = F.ascii(F.substring(F.lit(marks), F.floor(where / 7).cast("int") + 1, F.lit(1)).cast("string"))
-    marked = _lines(docs).where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (where % 7).cast("int"))) != 0)
-    whole = marked.join(wanted, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _grams(F.col("line"), short).alias("grams"))
-    whole = stash(whole.select("doc_id", "line_no", F.array_distinct("grams").alias("set")), "sets")
+        return F.struct(F.xxhash64(set_).alias("k"), set_[0].alias("h"), n.alias("n"), prefix.alias("prefix"))
+
+    lines = grams.where(F.size("grams") > 0).withColumn("levels", levels.scalar())
+    lines = lines.select(*at, _let(F.sort_array(rank(F.col("levels"))), described).alias("x"))
+    lines = stash(lines.select(*at, "x.*"), "lines", compression="lz4")
+    drop_stash(levels)
+    place = F.struct(*at)
+    classes = lines.groupBy("k", "h").agg(F.min(place).alias("at"))
+    lined = lines.join(classes, ["k", "h"]).withColumn("copy", place != F.col("at"))  # lines with equal sets: all but the first
+    lined = stash(lined.select(*at, "n", F.when(~F.col("copy"), F.col("prefix")).alias("prefix")), "classes", compression="lz4")
+    drop_stash(lines)
+    posts = lined.where("prefix is not null").select(*at, "n", F.posexplode("prefix").alias("pos", "token"))
+    over = F.shiftright("token", 56) - F.lit(hot)
+    posts = posts.withColumn("salt", F.when(over <= 0, 0).otherwise(F.pmod(F.xxhash64(*at), F.pow(F.lit(2.0), F.ceil(over / 4)).cast("long"))).cast("int"))
+    by = W.partitionBy("token", "salt")
+    posts = posts.withColumn("many", F.count(F.lit(1)).over(by)).where((F.col("many") > 1) | (over > 0))  # most tokens are a line's own
+    order, mine = by.orderBy(*at), F.struct(*at, "n", "pos")
+    posts = posts.withColumns({"first": F.first(mine).over(order), "prior": F.lag(mine).over(order)})
+    posts = stash(posts.drop("many", "salt"), "postings")
+
+    # the whole sets of the lines that share a prefix token, and of some more
+    marks, may = _marked(posts, at)
+    whole = stash(grams.where(may).withColumnRenamed("grams", "set"), "sets")
+    drop_stash(grams, marks)
+
+    side = lambda p: [F.col(c).alias(p + c) for c in at]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """b of the pairs (a earlier than b) that are similar."""
-        p = pairs.join(whole.select(F.col("doc_id").alias("ad"), F.col("line_no").alias("al"), F.col("set").alias("a")), ["ad", "al"])
-        p = p.join(whole.select(F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("set").alias("b")), ["bd", "bl"])
+        """The later lines of the pairs that are similar."""
+        p = pairs.join(whole.select(*side("a_"), F.col("set").alias("a")), [f"a_{c}" for c in at])
+        p = p.join(whole.select(*side("b_"), F.col("set").alias("b")), [f"b_{c}" for c in at])
         both = F.size(F.array_intersect("a", "b"))
         ok = 100 * both >= PERCENT * (F.size("a") + F.size("b") - both)
-        return p.where(ok).select(F.col("bd").alias("doc_id"), F.col("bl").alias("line_no")).distinct()
+        return p.where(ok).select(*[F.col(f"b_{c}").alias(c) for c in at]).distinct()
 
     other = F.explode(F.array("first", "prior")).alias("o")
-    near = posts.select("doc_id", "line_no", "n", "pos", other).where("o is not null and not (o.doc_id = doc_id and o.line_no = line_no)")
-    room = 1 + F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos")) - 1
+    near = posts.select(*at, "n", "pos", other).where(F.col("o").isNotNull() & (F.struct(*[F.col(f"o.{c}") for c in at]) != F.struct(*at)))
+    room = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
     near = near.where(_similar_size(F.col("n"), F.col("o.n")) & (room >= _need(F.col("n"), F.col("o.n"))))
-    near = near.select(F.col("o.doc_id").alias("ad"), F.col("o.line_no").alias("al"), F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"))
+    near = near.select(*[F.col(f"o.{c}").alias(f"a_{c}") for c in at], *side("b_"))
     settled = stash(verified(near.distinct()), "settled")
     # the others meet all earlier lines under their tokens
-    a = posts.select("token", F.col("doc_id").alias("ad"), F.col("line_no").alias("al"), F.col("n").alias("an"), F.col("pos").alias("ap"))
-    b = posts.join(settled, ["doc_id", "line_no"], "left_anti")
-    b = b.select("token", F.col("doc_id").alias("bd"), F.col("line_no").alias("bl"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
-    met = a.join(b, "token").where("ad < bd or (ad = bd and al < bl)").where(_similar_size(F.col("an"), F.col("bn")))
+    a = posts.select("token", *side("a_"), F.col("n").alias("an"), F.col("pos").alias("ap"))
+    b = posts.join(settled, at, "left_anti").select("token", *side("b_"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
+    met = a.join(b, "token").where(_first(at, "a_", "b_") & _similar_size(F.col("an"), F.col("bn")))
     met = met.where(F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= _need(F.col("an"), F.col("bn")))
-    met = met.groupBy("ad", "al", "bd", "bl", "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
+    pair = [f"{p}{c}" for p in ("a_", "b_") for c in at]
+    met = met.groupBy(*pair, "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
     met = met.where(F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1 >= _need(F.col("an"), F.col("bn")))
-    rest = verified(met.select("ad", "al", "bd", "bl"))
-    near = settled.unionByName(rest).withColumn("near", F.lit(True))
-    # lines with equal sets: all but the first
-    heads = classes.select("k", "h", "at")
-    found = lines.select("doc_id", "line_no", "k", "h").join(heads, ["k", "h"])
-    copies = found.where("not (at.doc_id = doc_id and at.line_no = line_no)").select("doc_id", "line_no")
-    return copies.unionByName(near.select("doc_id", "line_no")).distinct()
+    rest = verified(met.select(*pair))
+    copies = lined.where("prefix is null").select(*at)
+    found = stash(copies.unionByName(settled).unionByName(rest), "matches")  # disjoint
+    drop_stash(lined, posts, whole, settled)
+    return found
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns that order its rows and tell them apart: by doc_id,
+    rows without one last."""
+    return with_row(docs, "_row").withColumn("_order", F.coalesce("doc_id", F.lit(_LAST)))
+
+
+_KEY = ("_order", "_row")
+
+
+def _removed(docs: DataFrame, short: bool) -> DataFrame:
+    found = line_matches(docs, short, _KEY)
+    return found.groupBy(*_KEY).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))  # at most a document's lines
 
 
 def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` without the lines of :func:`line_matches`, joined again by line feeds;
-    documents that lose all lines go. n_chars, where there, is the new length."""
-    removed = line_matches(docs, short).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed"))  # at most a document's lines
-    d = docs.join(removed, "doc_id", "left")
+    documents that lose all lines go. n_chars, where there, is the new length.
+
+    Every row is a document of its own, also where rows share a doc_id or have none;
+    rows without one count as the last. Null and empty texts stay. Columns of any
+    names pass.
+    """
+    own = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text"))
+    d = own.join(_removed(own, short), list(_KEY), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_removed", i))
-    d = d.where(F.col("_removed").isNull() | (F.size("_removed") < F.size(lines)))
-    d = d.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_removed")
-    return d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else d
+    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
+    d = d.where(F.col("_gone").isNull() | (F.size("_gone") < F.size(lines)))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return d.select(*[new[c].alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go, and their numbers from 0."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    removed = line_matches(docs, short=True).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    n = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.size(F.split("text", "\n")), F.lit(0))).cast("long").alias("n_lines"))
-    d = n.join(removed, "doc_id", "left")
-    numbers = F.coalesce("removed", F.array().cast("array<int>"))
+    docs = _keyed(table(spark, sf_dir, "documents", "doc_id", "text"))
+    n = docs.select("doc_id", *_KEY, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    d = n.join(_removed(docs, True), list(_KEY), "left")
+    numbers = F.coalesce("_gone", F.array().cast("array<int>"))
     return d.select("doc_id", "n_lines", F.size(numbers).cast("long").alias("n_removed"), F.array_join(numbers.cast("array<string>"), ",").alias("removed_lines"))
