@@ -233,11 +233,39 @@ def test_ngram_join_where_the_differences_are_frequent(spark):
 
 def test_prefix_tree_walk():
     rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)]
-    tree = ngram_join.Tree(sets)
-    for x in sets[:10]:
-        got = {tree.order[i]: n for i, n in tree.walk(x, lambda i: 14, lambda i: False)}
-        assert got == {i: k for i, s in enumerate(sets) if (k := len(np.intersect1d(x, s))) >= 14}
+    sets = [np.unique(rng.integers(0, 60, int(k)).astype(np.uint64)) for k in rng.integers(2, 40, 80)]
+    sets += [sets[0], sets[1][:3], sets[1]]
+    sizes, none = [len(s) for s in sets], [-1 - i for i in range(len(sets))]
+    tree = ngram_join.Tree(sets, sizes, none)
+    for at, x in enumerate(sets):
+        got = {tree.order[i]: n for i, n in tree.walk(x, len(x), 0, at, lambda g: False) if tree.order[i] > at}
+        need = lambda s, x=x: -(-75 * (len(x) + len(s)) // 175)
+        assert got == {at + 1 + i: k for i, s in enumerate(sets[at + 1 :]) if (k := len(np.intersect1d(x, s))) >= need(s)}
+    # of one component: nothing to find
+    assert not list(ngram_join.Tree(sets, sizes, [7] * len(sets)).walk(sets[0], sizes[0], 0, -1, lambda g: g == 7))
+
+
+def test_words_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("abcé \t\n\x0b\x0c\r"), 4000, p=[0.3, 0.3, 0.2, 0.05] + [0.025] * 6)).encode()
+    text = b"\r" + text + b"x" * 700 + b"\x0c" + text + b"y" * 300
+    whole = ngram_join._words(np.frombuffer(text, np.uint8))[0]
+    monkeypatch.setattr(ngram_join, "_SEGMENT", 128)
+    assert (ngram_join._long_words(text) == whole).all() and len(whole) == len(text.split())
+    for c in " \t\n\x0b\x0c\r":
+        words = [f"w{i}".encode() for i in range(500)]
+        sets = ngram_join.shingle_sets([c.encode().join(words), b" ".join(words), b"z" * 1000])
+        assert len(sets[0]) == 496 and (sets[0] == sets[1]).all() and len(sets[2]) == 1
+
+
+def test_ngram_join_of_odd_ids(spark):
+    last = 2**63 - 1
+    rows = [(None, "a b c d e f"), (last, "a b c d e f"), (5, "q r s"), (5, "q r s"), (5, None), (None, "Q R S"), (None, ""), (7, "z " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, ngram_join.ngram_components(df).collect()), key=repr)
+    assert got == sorted([(None, 2, last), (last, 2, last), (5, 1, 5), (5, 1, 5), (5, 0, 5), (None, 1, 5), (None, 0, None), (7, 1, 7)], key=repr)
+    one = spark.createDataFrame(rows[:1], "doc_id long, text string")
+    assert list(map(tuple, ngram_join.ngram_components(one).collect())) == [(None, 2, None)]
 
 
 # op6, op7
@@ -337,7 +365,7 @@ def test_language_id(spark, empty):
     model = langid.train(spark, docs.where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "id"))
     got = langid.identify_documents(held.withColumn("lang", docs.lang.substr(9, 2)), model).toPandas()  # nothing is declared
     truth = held.select("doc_id", "lang").toPandas()
-    both = got.merge(truth, left_on="id", right_on="doc_id")
+    both = got.merge(truth, on="doc_id")
     assert (both.language == both.lang).mean() > 0.98 and both.accepted.mean() > 0.99
     odd = spark.createDataFrame([(1, None, None, None, None, ""), (2, "", "en", "a", None, ""), (3, "12 %%%", "xx", "a", None, "")], D)
     assert not langid.identify_documents(odd, model).toPandas().accepted.any()
@@ -356,6 +384,66 @@ def test_pages_fuse_evidence(spark):
     assert len(got) == 7 and not got.accepted.any()
 
 
+def test_posterior_equals_brute_force(spark):
+    """The fused evidence of some thousand pages, with rare values, nulls and a hot host."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumnRenamed("doc_id", "id")
+    model = langid.train(spark, docs)
+    some = [r["text"] for r in docs.orderBy("id").limit(40).collect()]
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        host = rng.choice(["a.one.de", "b.one.de", "two.fr", f"h{i}.x{i}"], p=[0.4, 0.1, 0.2, 0.3])
+        said = rng.choice(["", " lang=de", ' lang="fr"', f" lang='q{chr(97 + i % 26)}{chr(97 + i // 26)}'"])
+        rows.append((i, None if i % 50 == 0 else f"http://{host}/{i}", None if i % 70 == 0 else f"<html{said}><b>{some[i % 40][: 30 + i % 90] if i % 9 else '1 2'}", None))
+    got = {r["id"]: r for r in langid.identify(langid.features(spark.createDataFrame(rows, "id long, url string, text string, declared string"), model, True), model.languages).collect()}
+    n, f = len(model.languages), []
+    for i, url, text, _ in rows:
+        host, domain, suffix = langid.address(url)
+        k, ll = model.score(langid.visible(text or ""))
+        p = np.exp(ll - ll.max())
+        f.append((i, host, domain, suffix, langid.declared(text or ""), k, ll, p / p.sum()))
+    total = sum(x[7] for x in f)
+    corpus = (total + 1) / (total.sum() + n)
+
+    def given(at):
+        w = collections.defaultdict(lambda: np.zeros(n))
+        for x in f:
+            w[x[at]] += x[7]
+        return {v: np.log((x + 20 * x.sum() / total.sum() + 1e-3) / (total + 20 + 1e-3)) for v, x in w.items()}
+
+    said, suffixes = given(4), given(3)
+    for i, host, domain, suffix, lang, k, ll, p in f:
+        of = lambda at, v, p=p: np.maximum(sum((x[7] for x in f if x[at] == v and x[1] is not None), np.zeros(n)) - p, 0) if v is not None else np.zeros(n)
+        wd, w = of(2, domain), of(1, host)
+        parent = (wd + 20 * corpus) / (wd.sum() + 20)
+        prior = (w + 20 * parent) / (w.sum() + 20)
+        s = ll + said[lang] + suffixes[suffix] + np.log(prior)
+        s = np.exp(s - s.max())
+        s /= s.sum()
+        assert got[i]["probability"] == pytest.approx(s.max(), rel=1e-6) and got[i]["language"] == model.languages[int(s.argmax())], i
+        assert got[i]["accepted"] == (k > 0 and s.max() >= 0.5) and got[i]["text_probability"] == pytest.approx(p.max())
+
+
+def test_markup_in_one_pass():
+    from time import perf_counter
+
+    cases = {"a<!-- x --> b": "a  b", "<p>a<script>x<b></SCRIPT >b": " a b", "a <!-- b": "a <!-- b", "<!-- a>b": " b", "1 < 2": "1 < 2", "<style>a&amp;b": " a&b", "<p": "<p", "<template>a</templates></template\n>&lt;": " <"}
+    for page, text in cases.items():
+        assert langid.visible(page) == text, page
+    began = perf_counter()
+    for piece in ("<script>", "<!--", "<html ", "<style></style", "<"):
+        langid.visible(piece * 100_000)
+        langid.declared(piece * 100_000)
+    assert perf_counter() - began < 10
+
+
+def test_all_of_a_long_text_counts_and_the_mean_is_tempered():
+    model = langid.TextModel({"a": np.bincount(langid.trigrams("aaa bbb"), minlength=langid.BUCKETS), "b": np.bincount(langid.trigrams("ccc ddd"), minlength=langid.BUCKETS)}, most=10)
+    n, ll = model.score("aaa " * 50 + "ccc " * 5000)
+    assert n > 10_000 and ll.argmax() == 1
+    assert np.allclose(ll, 10 * model.logp[langid.trigrams("aaa " * 50 + "ccc " * 5000)].mean(0, dtype=float), rtol=1e-4)
+
+
 # op10
 
 

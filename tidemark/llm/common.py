@@ -85,22 +85,24 @@ def drop_stash(*tables: DataFrame) -> None:
 
 
 _ROWWISE = {"Project", "Filter", "SubqueryAlias"}
+#: The columns of :func:`with_row`.
+ROW = ("_file", "_at")
 
 
-def with_row(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a long that tells rows apart, even equal ones, and is the same
-    whenever ``df`` is computed: by the row's place in its Parquet file where ``df``
-    reads one row by row, else by a number that is written with the row."""
+def with_row(df: DataFrame) -> DataFrame:
+    """``df`` with two longs, ROW, that tell rows apart, even equal ones, and are the same
+    whenever ``df`` is computed: a hash of the path and the row's place in its Parquet
+    file where ``df`` reads one row by row, else a number that is written with the row."""
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in _ROWWISE:
         plan = plan.children().head()
     try:
         if plan.children().isEmpty() and " parquet" in plan.toString():
             at = df.metadataColumn("_metadata")
-            return df.withColumn(name, F.xxhash64(at["file_path"], at["row_index"]))
+            return df.withColumns({ROW[0]: F.xxhash64(at["file_path"]), ROW[1]: at["row_index"]})
     except AnalysisException:
         pass  # not a file after all
-    return stash(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return stash(df.withColumns({ROW[0]: F.lit(0).cast("long"), ROW[1]: F.monotonically_increasing_id()}), "numbered")
 
 
 def partitions(spark: SparkSession) -> int:

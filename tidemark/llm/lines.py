@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash, table, with_row
+from .common import ROW, drop_stash, stash, table, with_row
 
 WORDS = 5
 PERCENT = 75
@@ -136,7 +136,7 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     lines = grams.where(F.size("grams") > 0).withColumn("levels", levels.scalar())
     lines = lines.select(*at, _let(F.sort_array(rank(F.col("levels"))), described).alias("x"))
     lines = stash(lines.select(*at, "x.*"), "lines", compression="lz4")
-    drop_stash(levels)
+    drop_stash(levels, grams)
     place = F.struct(*at)
     classes = lines.groupBy("k", "h").agg(F.min(place).alias("at"))
     lined = lines.join(classes, ["k", "h"]).withColumn("copy", place != F.col("at"))  # lines with equal sets: all but the first
@@ -153,8 +153,8 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
 
     # the whole sets of the lines that share a prefix token, and of some more
     marks, may = _marked(posts, at)
-    whole = stash(grams.where(may).withColumnRenamed("grams", "set"), "sets")
-    drop_stash(grams, marks)
+    whole = stash(_lines(docs, key).where(may).select(*at, _grams(F.col("line"), short).alias("set")), "sets", compression="lz4")
+    drop_stash(marks)
 
     side = lambda p: [F.col(c).alias(p + c) for c in at]
 
@@ -190,10 +190,10 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns that order its rows and tell them apart: by doc_id,
     rows without one last."""
-    return with_row(docs, "_row").withColumn("_order", F.coalesce("doc_id", F.lit(_LAST)))
+    return with_row(docs).withColumn("_order", F.coalesce("doc_id", F.lit(_LAST)))
 
 
-_KEY = ("_order", "_row")
+_KEY = ("_order", *ROW)
 
 
 def _removed(docs: DataFrame, short: bool) -> DataFrame:
@@ -210,7 +210,7 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     names pass.
     """
     own = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text"))
-    d = own.join(_removed(own, short), list(_KEY), "left")
+    d = own.join(_removed(own, short), list(_KEY), "left")  # an exchange of whole texts by document
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
     d = d.where(F.col("_gone").isNull() | (F.size("_gone") < F.size(lines)))

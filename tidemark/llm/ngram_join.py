@@ -6,10 +6,10 @@
    partner and is done. Most are.
 2. The others' shared hashes are ordered globally, rare ones first. Partners share one
    of the rarest of each (their prefixes), so documents meet in the buckets of their
-   prefix hashes. A bucket keeps its sets in a prefix tree (sorted sets and the lengths
-   of their common beginnings): a document walks it once, overlaps counted along a
-   common beginning are shared by all sets below, and what can't reach the overlap it
-   needs in what remains is left with all below it.
+   prefix hashes. A bucket keeps its sets in a prefix tree, whose nodes are common
+   beginnings: a document walks it once, the overlap counted along a beginning is shared
+   by all sets below, and a node whose longest set can't reach the overlap that its
+   smallest needs is left with all below it.
 3. Equal sets are collapsed first, and passes over a few hashes of each document link
    most of each group of copies. Then all prefix hashes count, but only documents of
    several components are searched that meet there, are of similar size, and have room
@@ -18,13 +18,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, stash, table, utf8
+from .common import drop_stash, partitions, ship, stash, table, utf8
 from .components import connected_components
 from .vectors import groups
 
@@ -38,12 +41,12 @@ PASSES = 3
 _SEGMENT = 1 << 20
 _U = np.uint64
 _NULL = (1 << 63) - 1
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15 | 1
-    inverse = pow(base, -1, 1 << 64)
-    power = np.cumprod(np.concatenate([[_U(1)], np.full(n, _U(base))]), dtype=np.uint64)
+    inverse = pow(_BASE, -1, 1 << 64)
+    power = np.cumprod(np.concatenate([[_U(1)], np.full(n, _U(_BASE))]), dtype=np.uint64)
     back = np.cumprod(np.concatenate([[_U(1)], np.full(n, _U(inverse))]), dtype=np.uint64)
     return power, back
 
@@ -55,6 +58,8 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _PLACE = _RNG.integers(1, 1 << 63, WORDS + 1, dtype=np.uint64) | _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BLANKS = [bytes([b]) for b in (32, 9, 10, 11, 12, 13)]
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -72,16 +77,30 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed((total[ends] - total[starts]) * _BACK[starts]), starts
 
 
-def _segments(text: bytes):
-    """Cuts a long text at white space; a word longer than a segment is cut, too."""
-    at = 0
+def _long_word(word: bytes) -> np.ndarray:
+    """The hash of a word of any length, the same as that of ``_words``."""
+    h = 0
+    for at in range(0, len(word), _SEGMENT):
+        part = np.frombuffer(word, np.uint8, min(_SEGMENT, len(word) - at), at)
+        h += int((_BYTE[part] * _POWER[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return _mixed(np.array([h & ((1 << 64) - 1)], np.uint64))
+
+
+def _long_words(text: bytes) -> np.ndarray:
+    """The hashes of the words of a long text, taken in segments that end at white space;
+    a word that has none within a segment is taken alone."""
+    at, out = 0, []
     while at < len(text):
         end = min(len(text), at + _SEGMENT)
-        if end < len(text):
-            cut = max(text.rfind(c, at, end) for c in (b" ", b"\n", b"\t"))
-            end = cut + 1 if cut > at else end
-        yield text[at:end]
-        at = end
+        cut = end if end == len(text) else max(text.rfind(c, at, end) for c in _BLANKS) + 1
+        if cut > at:
+            out.append(_words(np.frombuffer(text, np.uint8, cut - at, at))[0])
+        else:
+            blank = _BLANK.search(text, end)
+            cut = blank.start() if blank else len(text)
+            out.append(_long_word(text[at:cut]))
+        at = cut
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -111,8 +130,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
             close()
             group, held = [], 0
         if len(t) >= _SEGMENT:
-            words = np.concatenate([_words(np.frombuffer(s, np.uint8))[0] for s in _segments(t)])
-            out.append(np.unique(_shingles(words)))
+            out.append(np.unique(_shingles(_long_words(t))))
         else:
             group.append(t)
             held += len(t) + 1
@@ -126,7 +144,8 @@ _DEALT = "shard int, base long, counts binary, low binary, high binary, docs bin
 
 def _deal(batches, shards: int):
     """Per shard a row with the hashes of some hundred documents; 40 bits of each, as
-    the shard tells the rest. Rows of shard -1 - x have the documents and set sizes."""
+    the shard tells the rest. Rows of shard -1 - x have the documents and set sizes. The last column
+    is the text, those before it tell documents apart."""
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 40
@@ -153,8 +172,8 @@ def _deal(batches, shards: int):
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            new = shingle_sets(part.column(1).to_pylist())
-            ids += part.column(0).to_pylist()
+            new = shingle_sets(part.column(part.num_columns - 1).to_pylist())
+            ids += zip(*(c.to_pylist() for c in part.columns[:-1]), strict=True)
             sets += new
             held += sum(map(len, new))
             if held > 1_500_000:
@@ -201,7 +220,8 @@ def _shared(batches, shards: int, buckets: int):
     for b in batches:
         for shard, base, counts, lo, hi, docs in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if shard < 0:
-                n, ids = np.frombuffer(counts, np.int64), np.frombuffer(docs, np.int64)
+                n = np.frombuffer(counts, np.int64)
+                ids = np.frombuffer(docs, np.int64).reshape(len(n), -1)
                 uid = base + np.arange(len(n))
                 block = uid >> 8
                 cut = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(n)]
@@ -220,7 +240,7 @@ def _shared(batches, shards: int, buckets: int):
         yield batch(rows)
 
 
-_SETS = "uid long, doc_id long, n long, data binary"
+_SETS = "uid long, n long, data binary"
 
 
 def _survivors(batches):
@@ -228,12 +248,11 @@ def _survivors(batches):
     from collections import defaultdict
 
     for b in groups(batches, 1):
-        n, ids, uid, value = {}, {}, [], []
+        n, uid, value = {}, [], []
         for kind, u, sizes, data in zip(*(b.column(c).to_pylist() for c in ("kind", "uid", "n", "data")), strict=True):
             u = np.frombuffer(u, np.int64)
             if kind == 1:
                 n |= zip(u.tolist(), np.frombuffer(sizes, np.int64).tolist(), strict=True)
-                ids |= zip(u.tolist(), np.frombuffer(data, np.int64).tolist(), strict=True)
             else:
                 uid.append(u)
                 value.append(np.frombuffer(data, np.uint64))
@@ -247,10 +266,10 @@ def _survivors(batches):
         for a, e in zip(cut[:-1], cut[1:], strict=True):
             u = int(uid[a])
             if 100 * (e - a) >= PERCENT * n[u]:
-                for k, x in zip(("uid", "doc_id", "n", "data"), (u, ids[u], n[u], value[a:e].tobytes()), strict=True):
+                for k, x in zip(("uid", "n", "data"), (u, n[u], value[a:e].tobytes()), strict=True):
                     out[k].append(x)
         if out:
-            yield pa.record_batch([pa.array(out["uid"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["data"], pa.binary())], list(out))
+            yield pa.record_batch([pa.array(out["uid"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["data"], pa.binary())], list(out))
 
 
 def _prefix(n: int, values: np.ndarray) -> np.ndarray:
@@ -259,44 +278,77 @@ def _prefix(n: int, values: np.ndarray) -> np.ndarray:
     return values[: max(p, 0)]
 
 
+def _least(a: int, b: int) -> int:
+    """The overlap that sets of these sizes need."""
+    return -(-PERCENT * (a + b) // (100 + PERCENT))
+
+
+class Node:
+    """Sets order[lo:hi] of a tree: ``part`` is what their beginnings share beyond the
+    node above. longest: what any of them has from there on; least and most: of their
+    whole sizes; group: their component, if it is one; last: the last of them as given."""
+
+    __slots__ = ("below", "group", "last", "least", "longest", "lo", "most", "part")
+
+
 class Tree:
-    """Sets in lexicographic order with the lengths of their common beginnings."""
+    """Sorted sets by their common beginnings. ``sizes``: of the whole documents;
+    ``groups``: their components."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], groups: list[int]) -> None:
         keys = [s.astype(">u8").tobytes() for s in sets]
         self.order = sorted(range(len(sets)), key=keys.__getitem__)
         self.sets = [sets[i] for i in self.order]
-        self.common = [0]
+        self.sizes, self.groups = [sizes[i] for i in self.order], [groups[i] for i in self.order]
+        common = [0]
         for a, b in zip(self.sets[:-1], self.sets[1:], strict=True):
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
-            self.common.append(int(differ[0]) if len(differ) else m)
-
-    def walk(self, x: np.ndarray, need, skip):
-        """Yields (position, overlap) of the sets that share ``need(position)`` or more
-        with x; ``skip(position)``: no need to look."""
-        along = np.zeros(1, np.int64)  # overlap of x with each beginning of the set before
-        for i, s in enumerate(self.sets):
-            known = min(self.common[i], len(along) - 1)
-            if skip(i):
-                along = along[: known + 1]
+            common.append(int(differ[0]) if len(differ) else m)
+        self.top: list[Node] = []
+        common = np.array(common)
+        todo = [(0, len(sets), 0, self.top)] if sets else []
+        while todo:
+            lo, hi, depth, into = todo.pop()
+            node = Node()
+            to = int(common[lo + 1 : hi].min()) if hi - lo > 1 else len(self.sets[lo])
+            node.lo, node.part, node.below = lo, self.sets[lo][depth:to], []
+            node.longest = max(len(x) for x in self.sets[lo:hi]) - depth
+            node.last = max(self.order[lo:hi])
+            node.least, node.most = min(self.sizes[lo:hi]), max(self.sizes[lo:hi])
+            node.group = self.groups[lo] if min(self.groups[lo:hi]) == max(self.groups[lo:hi]) else None
+            into.append(node)
+            if hi - lo > 1:
+                cut = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == to)).tolist(), hi]
+                todo += [(a, b, to, node.below) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def walk(self, x: np.ndarray, size: int, given: int, after: int, known):
+        """Yields (position, overlap) of the sets, of those given behind ``after``, that
+        share with x, of a document of ``size``, what they need with the ``given`` that
+        they share besides. ``known(group)``: sets of this component needn't be found."""
+        todo = [(node, 0, 0) for node in self.top]
+        while todo:
+            node, both, at = todo.pop()
+            if node.last <= after or 100 * node.most < PERCENT * size or 100 * size < PERCENT * node.least:
                 continue
-            least, rest = need(i), len(s) - known
-            if along[known] + min(rest, len(x)) < least:  # nothing below this beginning can reach it
-                along = along[: known + 1]
+            if both + given + min(node.longest, len(x) - at) < _least(size, node.least) or (node.group is not None and known(node.group)):
                 continue
-            part = s[known:]
-            at = np.searchsorted(x, part)
-            hit = x[np.minimum(at, len(x) - 1)] == part if len(x) else np.zeros(len(part), bool)
-            along = np.concatenate([along[: known + 1], along[known] + np.cumsum(hit)])
-            if along[-1] >= least:
-                yield i, int(along[-1])
+            if len(node.part):
+                where = np.searchsorted(x[at:], node.part)
+                if at < len(x):
+                    both += int((x[np.minimum(at + where, len(x) - 1)] == node.part).sum())
+                    at = int(at + np.searchsorted(x[at:], node.part[-1], side="right"))
+            if node.below:
+                todo += [(n, both, at) for n in node.below]
+            elif both + given >= _least(size, node.least):
+                yield node.lo, both
 
 
 def _join_bucket(token: int, uid: np.ndarray, n: np.ndarray, sets: list[np.ndarray], part: np.ndarray, block: np.ndarray | None):
     """Pairs that connect what ``part`` doesn't: (uid, uid) of linked documents."""
     cut = [int(np.searchsorted(s, _U(token))) for s in sets]
-    tree = Tree([s[c + 1 :] for s, c in zip(sets, cut, strict=True)])
+    sizes, parts = n.tolist(), part.tolist()
+    tree = Tree([s[c + 1 :] for s, c in zip(sets, cut, strict=True)], sizes, parts)
     order = tree.order
     root: dict = {}
 
@@ -306,24 +358,14 @@ def _join_bucket(token: int, uid: np.ndarray, n: np.ndarray, sets: list[np.ndarr
         return a
 
     for x in range(len(uid)):
-
-        def need(i, x=x):
-            return -(-PERCENT * (int(n[x]) + int(n[order[i]])) // (100 + PERCENT)) - 1  # they share the token
-
-        def skip(i, x=x):
-            y = order[i]
-            if y <= x or find(int(part[x])) == find(int(part[y])) or (block is not None and block[x] == block[y]):
-                return True
-            a, b = int(n[x]), int(n[y])
-            return 100 * min(a, b) < PERCENT * max(a, b)
-
-        for i, both in tree.walk(sets[x][cut[x] + 1 :], need, skip):
+        for i, both in tree.walk(sets[x][cut[x] + 1 :], sizes[x], 1, x, lambda g, x=x: find(g) == find(parts[x])):  # they share the token
             y = order[i]
-            before = np.intersect1d(sets[x][: cut[x]], sets[y][: cut[y]], assume_unique=True).size
-            both += 1 + before
-            if 100 * both >= PERCENT * (int(n[x]) + int(n[y]) - both):
+            if y <= x or find(parts[x]) == find(parts[y]) or (block is not None and block[x] == block[y]):
+                continue
+            both += 1 + np.intersect1d(sets[x][: cut[x]], sets[y][: cut[y]], assume_unique=True).size
+            if 100 * both >= PERCENT * (sizes[x] + sizes[y] - both):
                 yield int(uid[x]), int(uid[y])
-                a, b = find(int(part[x])), find(int(part[y]))
+                a, b = find(parts[x]), find(parts[y])
                 root[max(a, b)] = min(a, b)
 
 
@@ -365,88 +407,119 @@ def _posted(batches, most: int | None):
             yield pa.record_batch(cols, ["uid", "token", "place", "n"])
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
-
-    Texts of fewer than five words are one shingle, their whole sequence; null and
-    blank texts have none and link with nothing. Repeated rows link with each other
-    like other equal texts. A null doc_id is the largest one. No rows, no result.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    p = partitions(spark)
-    dealt = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(lambda b: _deal(b, p), _DEALT)
-    dealt = dealt.repartitionById(p, F.pmod(F.col("shard"), F.lit(p)).cast("int")).sortWithinPartitions("shard")
-    backed = stash(dealt.mapInArrow(lambda b: _shared(b, p, 4 * p), _BACKED), "shared")
-    by_doc = backed.select("bucket", "kind", "uid", "n", "data").repartition(p, "bucket").sortWithinPartitions("bucket")
-    sets = by_doc.mapInArrow(_survivors, _SETS)
-    # equal sets: nothing in them is a document's own
-    equal = F.when(F.octet_length("data") == 8 * F.col("n"), F.md5("data")).otherwise(F.col("uid").cast("string"))
-    sets = stash(sets.withColumn("key", equal), "sets")
-    heads = sets.groupBy("key").agg(F.min("uid").alias("rep"))
-    edges = sets.select("key", "uid").join(heads, "key").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
-    edges = stash(edges, "equal")
-    reps = stash(sets.join(heads.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "data"), "reps")
-
+def _linked(reps: DataFrame, p: int) -> DataFrame:
+    """(a, b): links that connect the documents ``reps`` (uid, n, data) as all links do."""
     # first passes: a few buckets a document, blocks of a bucket tied by its first document
     posts = stash(reps.mapInArrow(lambda b: _posted(b, FIRST), _POSTS).select("uid", "token"), "posts")
-    reps = reps.withColumn("part", F.col("uid"))
-    near = None
+    every = part = near = None
     for again in range(PASSES):
         counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head")).where("c > 1")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         put = posts.join(counts.select("token", blocks.alias("blocks")), "token")
         put = put.select("token", F.pmod(F.xxhash64("uid"), "blocks").cast("int").alias("block"), "uid")
         tie = counts.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("head").alias("uid"))
-        put = put.unionByName(tie).join(reps, "uid").select("token", "block", "uid", "n", "part", "data")
+        whole = reps.withColumn("part", F.col("uid")) if part is None else reps.join(part, "uid")
+        put = put.unionByName(tie).join(whole, "uid").select("token", "block", "uid", "n", "part", "data")
         put = put.repartition(p, "token", "block").sortWithinPartitions("token", "block")
         new = put.mapInArrow(lambda b: _join(b, False), "a long, b long")
-        near = stash(new if near is None else near.unionByName(new), "near")
+        last, near = near, stash(new if near is None else near.unionByName(new), "near")
+        if part is not None:
+            drop_stash(part, last)
         part = connected_components(near, "a", "b").withColumnsRenamed({"node": "uid", "component": "part"})
         part = stash(reps.select("uid").join(part, "uid", "left").withColumn("part", F.coalesce("part", "uid")), "parts")
-        reps = reps.drop("part").join(part, "uid")
         # all prefix hashes, where documents of several components meet
-        if not again:
-            every = stash(reps.select("uid", "n", "data").mapInArrow(lambda b: _posted(b, None), _POSTS), "every")
-        posts = every.join(part, "uid")
-        mixed = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("x"), F.max("part").alias("y"))
-        posts = stash(posts.join(mixed.where("x <> y").select("token", "c"), "token"), "posts")
-        everything = posts
+        if every is None:
+            every = stash(reps.mapInArrow(lambda b: _posted(b, None), _POSTS), "every")
+        drop_stash(posts)
+        all_ = every.join(part, "uid")
+        mixed = all_.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("x"), F.max("part").alias("y"))
+        posts = everything = stash(all_.join(mixed.where("x <> y").select("token", "c"), "token"), "posts")
+        if everything.isEmpty():
+            drop_stash(every, part, posts)
+            return near
         if again < PASSES - 1:  # next, the largest of these buckets for each document
             largest = W.partitionBy("uid").orderBy(F.desc("c"), "token")
-            posts = posts.withColumn("r", F.row_number().over(largest)).where("r <= 2").select("uid", "token")
+            posts = stash(posts.withColumn("r", F.row_number().over(largest)).where("r <= 2").select("uid", "token"), "largest")
+            drop_stash(everything)
+    drop_stash(every)
 
     # last pass: pairs of similar size, with room for the overlap they need after the hash
-    posts = everything
-    side = lambda k: posts.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("uid", "place", "n", "part")])
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")  # partners are in the same or the next
+    side = lambda k, band: everything.select("token", band.alias("band"), *[F.col(c).alias(f"{c}_{k}") for c in ("uid", "place", "n", "part")])
     need = F.ceil(F.lit(PERCENT) * (F.col("n_a") + F.col("n_b")) / (100 + PERCENT))
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    meet = side("a").join(side("b"), "token").where((F.col("uid_a") < F.col("uid_b")) & (F.col("part_a") != F.col("part_b")))
-    meet = meet.where((100 * least >= PERCENT * most) & (room >= need))
+    meet = side("a", band).join(side("b", F.explode(F.array(band, band - 1))), ["token", "band"])
+    meet = meet.where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("uid_a") < F.col("uid_b")))).where("part_a <> part_b")
+    meet = meet.where((100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (room >= need))
     # one bucket a pair, that of its first common hash: the walk counts only what comes after
     meet = meet.groupBy("uid_a", "uid_b").agg(F.min("token").alias("token"))
-    put = meet.select("token", F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct()
+    put = stash(meet.select("token", F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct(), "meeting")
+    drop_stash(everything)
     counts = put.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    put = put.join(counts.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    put = put.join(counts.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token")
+    put = put.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     put = put.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid")
-    put = put.join(reps, "uid").select("token", "i", "j", "block", "uid", "n", "part", "data")
+    put = put.join(reps.join(part, "uid"), "uid").select("token", "i", "j", "block", "uid", "n", "part", "data")
     rest = put.repartition(p, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda b: _join(b, True), "a long, b long")
-    edges = edges.unionByName(near).unionByName(stash(rest, "rest"))
-    part = connected_components(edges, "a", "b")
+    found = stash(near.unionByName(rest), "near")
+    drop_stash(near, part)
+    return found
+
+
+def ngram_components(docs: DataFrame, key: tuple[str, ...] = (), node: bool = False) -> DataFrame:
+    """doc_id, key, n_shingles, component_id for every row of ``docs`` (doc_id, key, text);
+    ``key``: columns of longs that pass, without nulls. ``node``: with component, a number
+    of the component that no other one has, also where doc_ids repeat.
+
+    Texts of fewer than five words are one shingle, their whole sequence; null and
+    blank texts have none and link with nothing. Repeated rows link with each other
+    like other equal texts. A null doc_id is the largest one, also of 2^63 - 1. No
+    rows, no result.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    p = partitions(spark)
+    own = docs.select(F.col("doc_id").isNull().cast("long").alias("none"), F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), *key, utf8(F.col("text")).alias("text"))
+    dealt = own.mapInArrow(lambda b: _deal(b, p), _DEALT)
+    dealt = dealt.repartitionById(p, F.pmod(F.col("shard"), F.lit(p)).cast("int")).sortWithinPartitions("shard")
+    backed = stash(dealt.mapInArrow(lambda b: _shared(b, p, 4 * p), _BACKED), "shared")
+    names = ["none", "doc_id", *key]
 
     def listed(batches):
         for b in batches:
             for u, n, d in zip(*(b.column(c).to_pylist() for c in ("uid", "n", "data")), strict=True):
-                yield pa.record_batch([pa.array(np.frombuffer(x, np.int64)) for x in (u, d, n)], ["node", "doc_id", "n_shingles"])
+                ids = np.frombuffer(d, np.int64).reshape(-1, len(names))
+                cols = [np.frombuffer(u, np.int64), *(np.ascontiguousarray(ids[:, i]) for i in range(len(names))), np.frombuffer(n, np.int64)]
+                yield pa.record_batch([pa.array(c) for c in cols], ["node", *names, "n_shingles"])
 
-    rows = backed.where("kind = 1").select("uid", "n", "data").mapInArrow(listed, "node long, doc_id long, n_shingles long")
+    rows = backed.where("kind = 1").select("uid", "n", "data").mapInArrow(listed, ", ".join(f"{c} long" for c in ["node", *names, "n_shingles"]))
+    rows = stash(rows, "rows")
+    by_doc = backed.select("bucket", "kind", "uid", "n", "data").repartition(p, "bucket").sortWithinPartitions("bucket")
+    sets = by_doc.mapInArrow(_survivors, _SETS)
+    # equal sets: nothing in them is a document's own
+    equal = F.when(F.octet_length("data") == 8 * F.col("n"), F.md5("data")).otherwise(F.col("uid").cast("string"))
+    sets = stash(sets.withColumn("key", equal), "sets")
+    drop_stash(backed)
+    id_ = F.when(F.col("none") == 0, F.col("doc_id"))
+    if sets.isEmpty():
+        drop_stash(sets)
+        out = rows.select(id_.alias("doc_id"), *key, "n_shingles", id_.alias("component_id"), F.col("node").alias("component"))
+        return out if node else out.drop("component")
+    heads = stash(sets.groupBy("key").agg(F.min("uid").alias("rep")), "heads")
+    edges = sets.select("key", "uid").join(heads, "key").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    edges = stash(edges, "equal")
+    reps = stash(sets.join(heads.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "data"), "reps")
+    drop_stash(sets, heads)
+    near = _linked(reps, p)
+    part = stash(connected_components(edges.unionByName(near), "a", "b"), "components")
+    drop_stash(reps, near, edges)
     rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = sets.select(F.col("uid").alias("node"), "doc_id").join(part, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    rows = rows.join(least, "component", "left")
-    id_ = lambda c: F.nullif(c, F.lit(_NULL))
-    return rows.select(id_(F.col("doc_id")).alias("doc_id"), "n_shingles", id_(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    first = rows.groupBy("component").agg(F.min(F.struct("none", "doc_id")).alias("first"))  # combined before the exchange
+    rows = rows.join(first, "component")
+    first = F.when(F.col("first.none") == 0, F.col("first.doc_id"))
+    out = rows.select(id_.alias("doc_id"), *key, "n_shingles", first.alias("component_id"), "component")
+    return out if node else out.drop("component")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
