@@ -40,8 +40,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(spark, own.select(F.col("doc_id").alias("id"), "text", "lang"))
     if not model.languages:
         return docs
-    found = identify_documents(own, model, ROW).where("accepted").select(*ROW, "language")
-    return _freed(own.join(found.hint("merge"), list(ROW)), docs, lang=F.col("language"))
+    found = stash(identify_documents(own, model, ROW).select(*ROW, "language", "accepted"), "languages")
+    found = found.where("accepted").hint("merge")
+    return _freed(own.join(found, list(ROW)), docs, lang=F.col("language"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

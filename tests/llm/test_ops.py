@@ -321,6 +321,22 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_vectors(spark.createDataFrame([], V)).count() == 0
 
 
+def test_near_vectors_of_doubles_lengths_and_ids(spark):
+    rows = [(1, [1e39, 0.0]), (2, [1e39, 0.0]), (3, [1e200, 1e198]), (4, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1e-300, 0.0]), (None, [1e39, 0.0]), (None, None), (6, [0.0, 1.0]), (7, [])]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (5, 3, 1, False), (4, 1, 4, True), (4, 1, 4, True), (None, 0, None, True), (None, 0, None, True), (6, 0, 6, True), (7, 0, 7, True)], key=repr
+    )
+
+
+def test_near_vectors_in_large_groups(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 24))
+    x[:300] = x[0] + 0.01 * rng.standard_normal((300, 24))  # all linked with each other
+    got = near_vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links.loc[:299] == 299).mean() > 0.99 and (got.component_id.loc[:299] == 0).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, j) for j in range(101, 160)] + [(7, 7), (500, 500)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
