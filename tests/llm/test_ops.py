@@ -79,6 +79,15 @@ def test_suffix_dedup_of_short_texts_only(spark):
     assert got == {i: (len(b), 0, b) for i, b in enumerate((t or "").encode() for t in few)}
 
 
+def test_suffix_dedup_of_odd_ids(spark):
+    last, long = 2**63 - 1, "".join(map(str, range(300)))
+    few = [(None, long), (last, long), (5, long[:400] + "x"), (5, "y" + long[:400]), (None, None), (5, "short"), (5, "short")]
+    d = spark.createDataFrame([(i, t, "z") for i, t in few], "doc_id long, text string, kept string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(d).collect()), key=repr)
+    want = [(i, len(t or ""), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())) for (i, t), c in zip(few, removed([t for _, t in few]), strict=True)]
+    assert got == sorted(want, key=repr) and want[0][2] == len(long)
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 7):
@@ -304,6 +313,42 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_codes_decide_what_is_scored(spark, monkeypatch):
+    _, rows = vectors(900)
+    df = spark.createDataFrame(rows, V)
+    before = [tuple(r)[:3] for r in neighbours.search(df, df.where("vec_id % 20 = 0")).collect()]
+
+    def blank(self, *args):
+        made(self, *args)
+        self.books = [0 * b for b in self.books]
+
+    made = neighbours.Index.__init__
+    monkeypatch.setattr(neighbours.Index, "__init__", blank)
+    after = [tuple(r)[:3] for r in neighbours.search(df, df.where("vec_id % 20 = 0")).collect()]
+    assert len(after) == len(before) and len(set(after) & set(before)) < 0.95 * len(before)
+
+
+def test_neighbours_of_repeated_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 64)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8))
+    x[40:200] = x[40]  # a hot vector, in a cell of several parts
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0]] * 3 + [rows[7]] * 2 + [(None, x[0].tolist()), (20, [1.0]), (40, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.search(df, df.where("vec_id % 20 = 0")).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert list(g["rank"]) == list(range(1, 21)) and q not in set(g.vec_id)
+        every = [(-(x[q] * v).sum(), i) for i, v in [*enumerate(x), *[(0, x[0])] * 3, *[(7, x[7])] * 2] if i != q]
+        want = sorted(every)[:20]
+        hits += len(collections.Counter(zip(-g.score, g.vec_id, strict=True)) & collections.Counter(want))
+    assert got.query_id.nunique() == 15 and hits >= 0.9 * 300, hits
+    ties = [i for i in got[got.query_id == 60].sort_values("rank").vec_id if 40 <= i < 200]
+    assert len(ties) > 10 and ties == list(range(40, 40 + len(ties)))  # equal products: the smaller ids
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
     x, rows = vectors()

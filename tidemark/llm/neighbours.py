@@ -2,9 +2,12 @@
 
 A bounded sample trains coarse centroids and, per group of dimensions, a codebook of
 residuals. Every vector is put into the cell of its centroid with the codes of its
-residual. A query looks into the cells whose centroids promise most, ranks their
-vectors by tables of its products with the codebooks, and computes exact products for
-the best of these. How many cells it takes is measured on the sample, by brute force.
+residual; cells are dealt to parts, large cells in pieces. A query goes to the parts
+that hold cells whose centroids promise most, once to each. There the codes of these
+cells are ranked by tables of the query's products with the codebooks. Of all parts, the
+best ranked are fetched, and only for these exact products are computed. How many cells
+a query takes is measured on the sample, by brute force; it takes more where they hold
+fewer vectors than it needs.
 
 Inner products become distances by one more dimension, which brings all vectors to
 the length of the longest, so cells suit vectors of any length.
@@ -12,6 +15,7 @@ the length of the longest, so cells suit vectors of any length.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -19,20 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, stash, table
+from .common import drop_stash, partitions, ship, stash, table
 from .vectors import groups, matrix, usable
 
 K = 20
-#: Vectors that train the index; the most that come to the driver.
-SAMPLE = 20_000
-MAX_CELLS = 4096
+#: Most cells; there are twice the root of the number of vectors.
+MAX_CELLS = 8192
+#: Least and most vectors that train the index, and come to the driver: 16 a cell.
+SAMPLE = 10_000, 16 * MAX_CELLS
 CODES = 256
-GROUPS = 16
+GROUPS = 32
 #: Share of the sample's true neighbours that the probed cells must hold.
 COVER = 0.97
-BLOCK = 4096
-#: Per query and cell, this many times k vectors are scored exactly.
-RERANK = 25
+#: This many times k vectors of a query are scored exactly.
+RERANK = 8
+#: Vectors in a part at most; fewer, if there are fewer than partitions would take.
+PART = 1 << 16
 SEED = 5
 
 
@@ -63,7 +69,7 @@ class Index:
         self.longest = longest
         x = self.lift(sample)
         d = x.shape[1]
-        self.cells = kmeans(x, max(1, min(MAX_CELLS, len(x) // 20, int(math.sqrt(n)))), rng)
+        self.cells = kmeans(x, max(1, min(MAX_CELLS, len(x) // 16, int(2 * math.sqrt(n)))), rng)
         self.cuts = np.linspace(0, d, min(GROUPS, d) + 1).astype(int)
         part = rng.permutation(len(x))[:5000]
         rest = x[part] - self.cells[_nearest(x[part], self.cells)]
@@ -91,15 +97,20 @@ class Index:
         codes = [_nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
         return cell, np.stack(codes, axis=1).astype(np.uint8)
 
-    def to_probe(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.cells[:, :-1].T), axis=1, kind="stable")[:, : self.probes]
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """The cells, those that promise most first."""
+        return np.argsort(-(q @ self.cells[:, :-1].T), axis=1, kind="stable")
 
-    def promised(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Queries' products with the coded vectors of a cell, less a constant per query."""
-        out = np.zeros((len(q), len(codes)), np.float32)
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Per group of dimensions, the products of its codebook with the queries."""
         q = np.hstack([q, np.zeros((len(q), 1))])
-        for g, book in enumerate(self.books):
-            out += (q[:, self.cuts[g] : self.cuts[g + 1]] @ book.T).astype(np.float32)[:, codes[:, g]]
+        return [(book @ q[:, a:b].T).astype(np.float32) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
+
+    def promised(self, cell: int, codes: np.ndarray, q: np.ndarray, tables: list[np.ndarray], who: np.ndarray) -> np.ndarray:
+        """What the coded vectors of a cell promise to the queries ``who`` of q."""
+        out = np.tile((q[who] @ self.cells[cell, :-1]).astype(np.float32), (len(codes), 1))
+        for g, table_ in enumerate(tables):
+            out += table_[:, who][codes[:, g]]
         return out
 
 
@@ -116,136 +127,157 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort([ids[at], -scores[at]])]
 
 
-def _least(scores: np.ndarray, k: int) -> np.ndarray:
-    """Of each row, the k-th largest, as a column; ties with it count as well."""
-    n = scores.shape[1]
-    return np.partition(scores, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(scores), 1), -np.inf)
-
-
-def _merge(best: dict, query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
-    if query in best:
-        ids, scores = np.concatenate([best[query][0], ids]), np.concatenate([best[query][1], scores])
-    at = top(scores, ids, k)
-    best[query] = ids[at], scores[at]
-
-
-_FOUND = "query_id long, ids binary, scores binary"
-
-
-def _blobs(best: dict) -> pa.RecordBatch:
-    cols = [pa.array(list(best), pa.int64()), *(pa.array([v[i].tobytes() for v in best.values()], pa.binary()) for i in (0, 1))]
-    return pa.record_batch(cols, ["query_id", "ids", "scores"])
+def _best(batches, index: Index, keep: int):
+    """From the rows of parts, the coded vectors of each before its queries: per query
+    and part, the vectors that promise most."""
+    own, have = None, []
+    for b in groups(batches, 2):  # part, kind
+        part, kind = (b.column(i)[0].as_py() for i in (0, 1))
+        if kind == 0:
+            own = part
+            uid, ids, cell = (b.column(c).to_numpy() for c in ("uid", "vec_id", "cell"))
+            order = np.argsort(cell, kind="stable")
+            uid, ids, cell = uid[order], ids[order], cell[order]
+            codes = np.frombuffer(b"".join(b.column("data").to_pylist()), np.uint8).reshape(len(order), -1)[order]
+            cut = np.searchsorted(cell, np.arange(len(index.cells) + 1))
+            have = np.flatnonzero(np.diff(cut)).tolist()
+            continue
+        if part != own:
+            continue  # pieces of cells that are empty after all
+        step = max(1, min(256, (1 << 24) // len(uid)))
+        for s in range(0, b.num_rows, step):
+            some = b.slice(s, step)
+            q = np.frombuffer(b"".join(some.column("data").to_pylist()), np.float32).reshape(some.num_rows, -1)
+            probed = np.zeros((some.num_rows, len(index.cells)), bool)
+            for i, x in enumerate(some.column("cells").to_pylist()):
+                probed[i, np.frombuffer(x, np.int32)] = True
+            tables = index.tables(q)
+            scores = np.full((len(uid), some.num_rows), -np.inf, np.float32)
+            for c in have:
+                who = np.flatnonzero(probed[:, c])
+                if len(who):
+                    scores[cut[c] : cut[c + 1], who] = index.promised(c, codes[cut[c] : cut[c + 1]], q, tables, who)
+            scores[ids[:, None] == some.column("vec_id").to_numpy()] = -np.inf
+            out = []
+            for score in np.ascontiguousarray(scores.T):
+                at = top(score, ids, keep)  # of equal vectors those with the smaller ids
+                at = at[score[at] > -np.inf]
+                out.append((uid[at].tobytes(), ids[at].tobytes(), score[at].tobytes()))
+            yield pa.record_batch([some.column("uid"), *(pa.array([r[i] for r in out], pa.binary()) for i in (0, 1, 2))], ["query", "uids", "ids", "scores"])
+
+
+def _chosen(batches, keep: int):
+    """Of rows that stand together by query, the best of all parts."""
+    for b in groups(batches, 1):
+        uid, ids = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int64) for c in ("uids", "ids"))
+        score = np.frombuffer(b"".join(b.column("scores").to_pylist()), np.float32)
+        at = top(score, ids, keep)
+        yield pa.record_batch([pa.array(np.full(len(at), b.column("query")[0].as_py())), pa.array(uid[at])], ["query", "uid"])
+
+
+def _ranked(batches, k: int):
+    """The k best by exact products, from rows that stand together by query: the query
+    (kind 0) first, then its vectors."""
+    for b in groups(batches, 1):
+        ids, v = b.column("vec_id").to_numpy(), matrix(b.column("v"))
+        score = (v[1:] * v[0]).sum(1)  # the same for equal vectors, wherever they stand
+        at = top(score, ids[1:], k)
+        m = len(at)
+        cols = [np.full(m, ids[0]), np.arange(1, m + 1, dtype=np.int32), ids[1:][at], score[at]]
+        yield pa.record_batch([pa.array(c) for c in cols], ["query_id", "rank", "vec_id", "score"])
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank from 1, vec_id, score: for each row of ``queries`` the k rows of
+    """query_id, rank from 1, vec_id, score: for each of ``queries`` the k rows of
     ``rows`` with other ids that have the largest inner products found; ties to the
     smaller vec_id. Both: (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite components take no part,
     nor do vectors of another length than the sample's most frequent one, or rows with
-    a null vec_id. Repeated rows count each. No queries or no candidates, no rows.
+    a null vec_id. Repeated rows count each as candidates; as queries, equal rows are
+    one. A query with fewer candidates than k gets all. No queries or no candidates, no rows.
     """
     spark = rows.sparkSession
     ship(spark)
+    p = partitions(spark)
     good = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     rows, queries = good(rows), good(queries)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, longest, d = rows.agg(F.count(F.lit(1)), F.max(square), F.mode(F.size("v"), True)).first()
-    n_queries = queries.count()
-    if not n or not n_queries:
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, queries = rows.where(F.size("v") == d), queries.where(F.size("v") == d)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    index = Index(matrix(sample.column("v").combine_chunks()), n, longest, k)
-    # blocks of queries, so that a task never holds all that look into a cell
-    q_blocks = max(1, math.ceil(n_queries * index.probes / len(index.cells) / BLOCK))
+    repeated = rows.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    size = max(SAMPLE[0], min(SAMPLE[1], 16 * int(2 * math.sqrt(n))))
+    chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    sample = rows.withColumn("h", chance).where(F.col("h") < min(1 << 40, (3 * size << 40) // n + 1))  # some three times the sample
+    sample = sample.orderBy("h", "vec_id").limit(size).select("v").toArrow()
+    if not sample.num_rows:  # all rows share a few ids
+        sample = rows.limit(size).select("v").toArrow()
+    index = Index(np.unique(matrix(sample.column("v").combine_chunks()), axis=0), n, longest, k)  # copies train nothing
 
     def coded(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 40
         for b in batches:
             cell, codes = index.encode(matrix(b.column("v")))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "cell", "codes"])
-
-    postings = stash(rows.mapInArrow(coded, "vec_id long, v array<double>, cell int, codes binary"), "postings")
-    sizes = {r["cell"]: r["count"] for r in postings.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
-    blocks = np.array([-(-sizes.get(c, 0) // BLOCK) for c in range(len(index.cells))])
+            uid = np.arange(at, at + b.num_rows)
+            at += b.num_rows
+            yield pa.record_batch([pa.array(uid), *b.columns, pa.array(cell), pa.array([c.tobytes() for c in codes], pa.binary())], ["uid", "vec_id", "v", "cell", "codes"])
+
+    stored = stash(rows.mapInArrow(coded, "uid long, vec_id long, v array<double>, cell int, codes binary"), "vectors")
+    asked = stash(queries.distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
+    # pieces of cells, dealt to parts from the largest on
+    sizes = {r["cell"]: r["count"] for r in stored.groupBy("cell").count().collect()}  # at most MAX_CELLS rows
+    most = min(PART, max(4096, -(-n // p)))
+    parts = [(c, i, s / -(-s // most)) for c, s in sizes.items() for i in range(-(-s // most))]
+    loads = [(0.0, x) for x in range(-(-n // most))]
+    dealt = []
+    for c, i, s in sorted(parts, key=lambda x: -x[2]):
+        load, x = heapq.heappop(loads)
+        heapq.heappush(loads, (load + s, x))
+        dealt.append((c, i, x))
+    pieces: dict[int, list[int]] = {}
+    for c, _, x in dealt:
+        pieces.setdefault(c, []).append(x)
+    where = spark.createDataFrame([(c, i, len(pieces[c]), x) for c in pieces for i, x in enumerate(pieces[c])], "cell int, piece int, pieces int, part int")
+    counts = np.array([sizes.get(c, 0) for c in range(len(index.cells))])
 
     def aimed(batches):
         for b in batches:
-            ids, q = b.column(0).to_numpy(), matrix(b.column("v"))
-            for s in range(0, len(ids), 256):
-                cells = index.to_probe(q[s : s + 256])
-                who, cell = np.repeat(np.arange(s, s + len(cells)), cells.shape[1]), cells.ravel()
-                times = blocks[cell]
-                who, cell = np.repeat(who, times), np.repeat(cell, times)
-                block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.record_batch(
-                    [pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(ids[who]), b.column("v").take(pa.array(who))],
-                    ["cell", "block", "id", "v"],
-                )
-
-    looking = queries.mapInArrow(aimed, "cell int, block int, id long, v array<double>")
-    looking = looking.withColumns({"q_block": F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"), "codes": F.lit(None).cast("binary")})
-    count = F.create_map(*[F.lit(int(x)) for c in np.flatnonzero(blocks > 1) for x in (c, blocks[c])]) if (blocks > 1).any() else None
-    count = F.lit(1) if count is None else F.coalesce(count[F.col("cell")], F.lit(1))
-    stored = postings.withColumn("block", F.pmod(F.xxhash64("vec_id"), count).cast("int"))
-    stored = stored.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    cols = ["cell", "block", "q_block", "id", "codes", "v"]
-    both = stored.withColumnRenamed("vec_id", "id").select(*cols).unionByName(looking.select(*cols))
-
-    def scan(batches):
-        best: dict = {}
-        for b in groups(batches, 3):
-            cell = b.column(0)[0].as_py()
-            asks = b.column("codes").is_null().to_numpy(zero_copy_only=False)
-            if asks.all() or not asks.any():
-                continue
-            ids, v = b.column("id").to_numpy(), matrix(b.column("v"))
-            own = np.flatnonzero(~asks)
-            own = own[np.argsort(ids[own], kind="stable")]
-            who, q, x, have = ids[asks], v[asks], v[own], ids[own]
-            codes = np.frombuffer(b"".join(b.column("codes").drop_null().to_pylist()), np.uint8).reshape(len(own), -1)
-            codes = codes[np.argsort(ids[~asks], kind="stable")]
-            for s in range(0, len(who), 256):
-                promise, exact = index.promised(q[s : s + 256], cell, codes), q[s : s + 256] @ x.T
-                mine = have == who[s : s + 256, None]
-                promise[mine], exact[mine] = -np.inf, -np.inf
-                exact[promise < _least(promise, RERANK * k)] = -np.inf  # not among the best: not looked at
-                last = _least(exact, k)
-                for i in range(len(exact)):
-                    query, e = int(who[s + i]), exact[i]
-                    if query in best and len(best[query][1]) == k and best[query][1][-1] > e.max():
-                        continue
-                    at = np.flatnonzero((e >= last[i]) & (e > -np.inf))
-                    if len(at):
-                        _merge(best, query, have[at], e[at], k)
-            if len(best) > 50_000:
-                yield _blobs(best)
-                best = {}
-        if best:
-            yield _blobs(best)
-
-    def merge(batches):
-        best: dict = {}
-        last = None
-        for b in batches:
-            for query, ids, scores in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if last is not None and query != last:
-                    yield _ranked(last, best.pop(last))
-                last = query
-                _merge(best, query, np.frombuffer(ids, np.int64), np.frombuffer(scores, np.float64), k)
-        if last is not None:
-            yield _ranked(last, best[last])
-
-    def _ranked(query: int, found: tuple) -> pa.RecordBatch:
-        m = len(found[0])
-        cols = [pa.array(np.full(m, query)), pa.array(np.arange(1, m + 1, dtype=np.int32)), pa.array(found[0]), pa.array(found[1])]
-        return pa.record_batch(cols, ["query_id", "rank", "vec_id", "score"])
-
-    p = partitions(spark)
-    found = both.repartition(p, "cell", "block", "q_block").sortWithinPartitions("cell", "block", "q_block").mapInArrow(scan, _FOUND)
-    found = found.repartition(p, "query_id").sortWithinPartitions("query_id")
-    return found.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+            out = []
+            q = matrix(b.column("v"))
+            for s in range(0, len(q), 256):
+                order = index.order(q[s : s + 256])
+                enough = (np.cumsum(counts[order], axis=1) < k + repeated).sum(1) + 1
+                for i, (cells, m) in enumerate(zip(order, enough, strict=True)):
+                    to: dict[int, list[int]] = {}
+                    for c in cells[: max(m, index.probes)].tolist():
+                        for x in pieces.get(c, ()):
+                            to.setdefault(x, []).append(c)
+                    data = q[s + i].astype(np.float32).tobytes()
+                    out += [(x, 1, b.column("query")[s + i].as_py(), b.column("vec_id")[s + i].as_py(), None, data, np.array(c, np.int32).tobytes()) for x, c in to.items()]
+            if out:
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _PARTS)
+
+    _PARTS = ["part", "kind", "uid", "vec_id", "cell", "data", "cells"]
+    looking = asked.select("query", "vec_id", "v").mapInArrow(aimed, "part int, kind int, uid long, vec_id long, cell int, data binary, cells binary")
+    own = stored.join(where.groupBy("cell").agg(F.max("pieces").alias("pieces")), "cell")
+    own = own.withColumn("piece", F.pmod(F.xxhash64("uid"), "pieces").cast("int")).join(where.select("cell", "piece", "part"), ["cell", "piece"])
+    own = own.select("part", F.lit(0).alias("kind"), "uid", "vec_id", "cell", F.col("codes").alias("data"), F.lit(None).cast("binary").alias("cells"))
+    both = own.unionByName(looking).repartitionById(max(1, len(loads)), F.col("part")).sortWithinPartitions("part", "kind")
+    keep = RERANK * k
+    found = both.mapInArrow(lambda b: _best(b, index, keep), "query long, uids binary, ids binary, scores binary")
+    found = found.repartition(p, "query").sortWithinPartitions("query").mapInArrow(lambda b: _chosen(b, keep), "query long, uid long")
+    found = stash(found, "chosen")
+    exact = found.join(stored.select("uid", "vec_id", "v"), "uid").select("query", F.lit(1).alias("kind"), "vec_id", "v")
+    exact = exact.unionByName(asked.select("query", F.lit(0).alias("kind"), "vec_id", "v"))
+    exact = exact.repartition(p, "query").sortWithinPartitions("query", "kind")
+    out = stash(exact.mapInArrow(lambda b: _ranked(b, k), "query_id long, rank int, vec_id long, score double"), "found")
+    drop_stash(stored, asked, found)
+    return out
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -491,14 +491,15 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     that stay) for every row of ``docs`` (doc_id, text).
 
     Null texts are empty; matches never cross texts; rows that repeat a text lose it
-    whole if it has 200 bytes. A null doc_id is an id like others. No rows, no result.
+    whole if it has 200 bytes. Rows that share a doc_id, or have none, count each. No
+    rows, no result.
     """
     spark = docs.sparkSession
     ship(spark)
     p = partitions(spark)
     text = utf8(F.col("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    dealt = docs.mapInArrow(lambda b: _deal(b, p), _DEALT)
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"), F.col("doc_id").isNotNull().alias("known"))
+    dealt = docs.drop("known").mapInArrow(lambda b: _deal(b, p), _DEALT)
     dealt = dealt.repartitionById(p, F.pmod(F.col("shard"), F.lit(p)).cast("int")).sortWithinPartitions("shard")
     known = stash(dealt.mapInArrow(lambda b: _shared(b, 4 * p), _SHARED), "shared")
     sample = known.where("kind = 2").select("extra").orderBy(F.xxhash64("extra")).limit(SAMPLE).collect()
@@ -523,7 +524,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     def kept(batches):
         for b in batches:
             out = []
-            for doc_id, text, n, spans in zip(*(b.column(c) for c in ("doc_id", "text", "n", "spans")), strict=True):
+            for doc_id, text, n, spans in zip(*(b.column(c) for c in ("id", "text", "n", "spans")), strict=True):
                 text, cut = text.as_py(), []
                 size = len(text)
                 if n.as_py() > 1 and size >= LENGTH:
@@ -544,9 +545,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
                 types = [*[pa.int64()] * 4, pa.string(), pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    whole = docs.join(spans, ["doc_id", "digest"]).select("doc_id", "text", "n", "spans")
+    whole = docs.join(spans, ["doc_id", "digest"]).select(F.when(F.col("known"), F.col("doc_id")).alias("id"), "text", "n", "spans")
     out = whole.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(_NULL)))
     return out if with_kept else out.drop("kept")
 
 
