@@ -75,13 +75,18 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def drop_stash(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`stash` that nothing reads any more. The driver's JVM
-    then collects its garbage, on which Spark deletes the shuffle files of what is over."""
+    """Delete tables made by :func:`stash` that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_tidemark_path", None):
             _remove(df.sparkSession, path)
+    free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage, on which Spark deletes the shuffle files
+    of what is over."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 _ROWWISE = {"Project", "Filter", "SubqueryAlias"}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, drop_stash, stash, table, with_row
+from .common import ROW, drop_stash, free_shuffles, stash, table, with_row
 
 WORDS = 5
 PERCENT = 75
@@ -150,6 +150,7 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     order, mine = by.orderBy(*at), F.struct(*at, "n", "pos")
     posts = posts.withColumns({"first": F.first(mine).over(order), "prior": F.lag(mine).over(order)})
     posts = stash(posts.drop("many", "salt"), "postings")
+    free_shuffles(docs.sparkSession)
 
     # the whole sets of the lines that share a prefix token, and of some more
     marks, may = _marked(posts, at)

@@ -415,11 +415,11 @@ def _linked(reps: DataFrame, p: int) -> DataFrame:
     for again in range(PASSES):
         counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("head")).where("c > 1")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        put = posts.join(counts.select("token", blocks.alias("blocks")), "token")
+        put = posts.join(counts.select("token", blocks.alias("blocks")).hint("merge"), "token")
         put = put.select("token", F.pmod(F.xxhash64("uid"), "blocks").cast("int").alias("block"), "uid")
         tie = counts.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("head").alias("uid"))
-        whole = reps.withColumn("part", F.col("uid")) if part is None else reps.join(part, "uid")
-        put = put.unionByName(tie).join(whole, "uid").select("token", "block", "uid", "n", "part", "data")
+        whole = reps.withColumn("part", F.col("uid")) if part is None else reps.join(part.hint("merge"), "uid")
+        put = put.unionByName(tie).join(whole.hint("merge"), "uid").select("token", "block", "uid", "n", "part", "data")
         put = put.repartition(p, "token", "block").sortWithinPartitions("token", "block")
         new = put.mapInArrow(lambda b: _join(b, False), "a long, b long")
         last, near = near, stash(new if near is None else near.unionByName(new), "near")
@@ -431,9 +431,9 @@ def _linked(reps: DataFrame, p: int) -> DataFrame:
         if every is None:
             every = stash(reps.mapInArrow(lambda b: _posted(b, None), _POSTS), "every")
         drop_stash(posts)
-        all_ = every.join(part, "uid")
+        all_ = every.join(part.hint("merge"), "uid")
         mixed = all_.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("x"), F.max("part").alias("y"))
-        posts = everything = stash(all_.join(mixed.where("x <> y").select("token", "c"), "token"), "posts")
+        posts = everything = stash(all_.join(mixed.where("x <> y").select("token", "c").hint("merge"), "token"), "posts")
         if everything.isEmpty():
             drop_stash(every, part, posts)
             return near
@@ -460,7 +460,7 @@ def _linked(reps: DataFrame, p: int) -> DataFrame:
     put = put.withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     put = put.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid")
-    put = put.join(reps.join(part, "uid"), "uid").select("token", "i", "j", "block", "uid", "n", "part", "data")
+    put = put.join(reps.join(part.hint("merge"), "uid").hint("merge"), "uid").select("token", "i", "j", "block", "uid", "n", "part", "data")
     rest = put.repartition(p, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda b: _join(b, True), "a long, b long")
     found = stash(near.unionByName(rest), "near")
     drop_stash(near, part)
@@ -509,14 +509,14 @@ def ngram_components(docs: DataFrame, key: tuple[str, ...] = (), node: bool = Fa
     heads = stash(sets.groupBy("key").agg(F.min("uid").alias("rep")), "heads")
     edges = sets.select("key", "uid").join(heads, "key").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
     edges = stash(edges, "equal")
-    reps = stash(sets.join(heads.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "data"), "reps")
+    reps = stash(sets.join(heads.select(F.col("rep").alias("uid")).hint("merge"), "uid", "left_semi").select("uid", "n", "data"), "reps")
     drop_stash(sets, heads)
     near = _linked(reps, p)
     part = stash(connected_components(edges.unionByName(near), "a", "b"), "components")
     drop_stash(reps, near, edges)
-    rows = rows.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.join(part.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = rows.groupBy("component").agg(F.min(F.struct("none", "doc_id")).alias("first"))  # combined before the exchange
-    rows = rows.join(first, "component")
+    rows = rows.join(first.hint("merge"), "component")
     first = F.when(F.col("first.none") == 0, F.col("first.doc_id"))
     out = rows.select(id_.alias("doc_id"), *key, "n_shingles", first.alias("component_id"), "component")
     return out if node else out.drop("component")
