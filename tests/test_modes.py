@@ -35,3 +35,19 @@ def test_modes(spark, folder, tmp_path, capsys):
     assert spark.read.option("header", True).csv(f"{tmp_path}/submission").count() == 12
     run("candidate_recall", "--candidate-k", "20")
     assert "bpr+content" in capsys.readouterr().out
+    run("compare_baselines", "--reranker", "linear")
+    out = capsys.readouterr().out
+    assert all(name in out for name in ("popularity", "content", "bpr", "pipeline"))
+    for name in ("lambda", "yeti"):
+        run("train_reranker", "--reranker", name)
+    run("ensemble_evaluate", "--lgbm-weight", "0.3")
+    assert "Recall@10" in capsys.readouterr().out
+    run("ensemble_submit")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/submission").count() == 12
+    # another content model has its own rankers
+    run("train_bm25")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|doesn't exist"):
+        run("evaluate", "--reranker", "linear", "--content", "bm25")
+    run("train_reranker", "--reranker", "linear", "--content", "bm25")
+    run("evaluate", "--reranker", "linear", "--content", "bm25")
+    assert "Recall@10" in capsys.readouterr().out

@@ -1,5 +1,8 @@
 """Edge cases on small frames."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 
@@ -91,6 +94,52 @@ def test_bpr_training_learns_and_skips_full_users(spark):
     assert users.count() == 21 and items.count() == 10 and losses[-1] < losses[0]
 
 
+def test_resumed_training_equals_uninterrupted(spark, tmp_path):
+    data = spark.createDataFrame([(u, (u * 7 + k * 3) % 20, k, k) for u in range(12) for k in range(6)], I)
+    run = lambda epochs, saved=None: bpr.train(data, factors=4, epochs=epochs, lr=0.3, parts=2, saved=saved, every=2)
+    users, items, losses = run(5)
+    run(3, str(tmp_path / "s"))  # stops after 3
+    assert [p.name for p in sorted((tmp_path / "s").iterdir())] == ["2", "3"]
+    again = run(5, str(tmp_path / "s"))
+    factors = lambda d: {r["id"]: r["f"] for r in d.collect()}
+    for a, b in ((users, again[0]), (items, again[1])):
+        a, b = factors(a), factors(b)
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-4, abs=1e-6) for k in a)
+    assert losses == pytest.approx(again[2])
+
+
+def test_lambdas_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(u, i, int(rng.random() < 0.3) if u else 0, float(rng.randrange(6))) for u in range(4) for i in range(12)]
+    got = {(r["user_id"], r["item_id"]): (r["lam"], r["weight"]) for r in rankers.lambdas(spark.createDataFrame(rows, "user_id long, item_id long, label int, s double")).collect()}
+    for u in range(4):
+        mine = sorted((-s, i, y) for v, i, y, s in rows if v == u)
+        gain = {i: 1 / math.log2(r + 2) for r, (_, i, _) in enumerate(mine)}
+        best = sum(1 / math.log2(r + 2) for r in range(sum(y for *_, y in mine)))
+        want = {i: [0.0, 0.0] for i in gain}
+        for a, i, y in mine:
+            for b, j, z in mine:
+                if y == 1 and z == 0:
+                    rho, change = 1 / (1 + math.exp(b - a)), abs(gain[i] - gain[j]) / best
+                    want[i][0] += rho * change
+                    want[j][0] -= rho * change
+                    for k in (i, j):
+                        want[k][1] += rho * (1 - rho) * change
+        for i, w in want.items():
+            assert got[u, i] == pytest.approx(w)
+
+
+def test_rankers_use_categories(spark):
+    rng = random.Random(3)
+    rows = [(u, i, f"c{i % 3}" if i % 7 else None, float(rng.random()), int(i % 3 == 1 and i % 7 != 0)) for u in range(30) for i in range(12)]
+    d = spark.createDataFrame(rows, "user_id long, item_id long, main_category string, price double, label int")
+    for model in (rankers.LambdaTreeRanker(rounds=3, rate=0.5), rankers.PairwiseLinearRanker()):
+        s = {(r["user_id"], r["item_id"]): r["score"] for r in model.fit(d).predict(d.withColumn("main_category", d.main_category)).collect()}
+        assert min(s[u, i] for u, i, *_, y in rows if y) > max(s[u, i] for u, i, *_, y in rows if not y)
+        new = d.limit(3).selectExpr("user_id", "item_id", "'unknown' AS main_category", "price")
+        assert model.predict(new).count() == 3
+
+
 def test_ranker_surface(spark, tmp_path):
     data = [(u, i, float(i), None if i % 3 else 1.0, int(i > 7)) for u in range(8) for i in range(10)]
     d = spark.createDataFrame(data, "user_id long, item_id long, a double, b double, label int")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT  # noqa: F401
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -19,21 +19,66 @@ from pyspark.sql import functions as F
 from ..settings import CATEGORICAL, NOT_FEATURES
 
 
+#: Values of a categorical with a code of their own, the most frequent ones when a ranker is
+#: fitted; rarer and unknown ones share a code, missing ones have another.
+CODES = 62
+
+
 def feature_columns(rows: DataFrame) -> list[str]:
-    """All but keys, label and categoricals; captured when a ranker is fitted."""
-    return [c for c, t in rows.dtypes if c not in (*NOT_FEATURES, *CATEGORICAL) and t != "string"]
+    """All but keys and label, numbers before categoricals; captured when a ranker is fitted."""
+    numbers = [c for c, t in rows.dtypes if c not in (*NOT_FEATURES, *CATEGORICAL) and t != "string"]
+    return numbers + [c for c in CATEGORICAL if c in rows.columns]
+
 
+def _vectors(rows: DataFrame, columns: list[str], tree: bool = True) -> PipelineModel:
+    """Numbers with their medians where they miss, flags of that, and codes of the
+    categoricals: as categories of ``tree`` learners, else one column a code."""
+    numbers, kinds = [c for c in columns if c not in CATEGORICAL], [c for c in columns if c in CATEGORICAL]
+    d = _prepared(rows, columns)
+    stages = [Imputer(inputCols=numbers, outputCols=[f"{c}_filled" for c in numbers], strategy="median")]
+    for c in kinds:
+        most = d.where(F.col(f"{c}_kind") != _MISSING).groupBy(f"{c}_kind").count().orderBy(F.desc("count"), f"{c}_kind").limit(CODES).collect()
+        stages.append(StringIndexerModel.from_labels([r[0] for r in most] + [_MISSING], f"{c}_kind", f"{c}_code", handleInvalid="keep"))
+        if not tree:
+            stages.append(OneHotEncoder(inputCol=f"{c}_code", outputCol=f"{c}_flags", dropLast=True))
+    inputs = [f"{c}_filled" for c in numbers] + [f"{c}_missing" for c in numbers] + [f"{c}_{'code' if tree else 'flags'}" for c in kinds]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(d)
 
-def _vectors(rows: DataFrame, columns: list[str]) -> PipelineModel:
-    flags = [f"{c}_missing" for c in columns]
-    assembler = VectorAssembler(inputCols=[f"{c}_filled" for c in columns] + flags, outputCol="features")
-    imputer = Imputer(inputCols=columns, outputCols=[f"{c}_filled" for c in columns])
-    return Pipeline(stages=[imputer, assembler]).fit(_prepared(rows, columns))
+
+_MISSING = "MISSING"
 
 
 def _prepared(rows: DataFrame, columns: list[str]) -> DataFrame:
-    d = rows.withColumns({c: F.col(c).cast("double") for c in columns})
-    return d.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in columns})
+    numbers = [c for c in columns if c not in CATEGORICAL]
+    d = rows.withColumns({f"{c}_kind": F.coalesce(F.col(c).cast("string"), F.lit(_MISSING)) for c in columns if c in CATEGORICAL})
+    d = d.withColumns({c: F.col(c).cast("double") for c in numbers})
+    return d.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in numbers})
+
+
+def lambdas(rows: DataFrame, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """user_id, item_id, lam, weight from (user_id, item_id, label, s): the gradient and the
+    curvature of the pairwise logistic loss, each pair of a positive and a negative of a
+    user weighted by what swapping them in the order of scores changes NDCG by.
+
+    ``noise`` > 0 perturbs scores first, by logistic noise of that scale. Rows of users
+    with one class only have no pairs, lam 0 and weight 0.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), "user_id", "item_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    z = F.col("s") + noise * F.ln((u + 1e-9) / (1 - u + 1e-9)) if noise else F.col("s")
+    user = W.partitionBy("user_id")
+    d = rows.select("user_id", "item_id", "label", z.alias("z")).withColumn("rank", F.row_number().over(user.orderBy(F.desc("z"), "item_id")))
+    d = d.withColumn("gain", 1 / F.log2(F.col("rank") + 1.0))
+    ideal = F.row_number().over(user.orderBy(F.desc("label"), "item_id"))
+    d = d.withColumn("ideal", ideal).withColumn("best", F.sum(F.when(F.col("label") == 1, 1 / F.log2(F.col("ideal") + 1.0))).over(user))
+    side = lambda k: [F.col("user_id"), *[F.col(c).alias(f"{c}_{k}") for c in ("item_id", "z", "gain")]]
+    pairs = d.where("label = 1").select(*side("a"), "best").join(d.where("label = 0").select(*side("b")), "user_id")  # of one user's candidates
+    rho, change = 1 / (1 + F.exp(F.col("z_a") - F.col("z_b"))), F.abs(F.col("gain_a") - F.col("gain_b")) / F.col("best")
+    pairs = pairs.withColumns({"lam": rho * change, "weight": rho * (1 - rho) * change})
+    ends = F.explode(F.array(F.struct(F.col("item_id_a").alias("item_id"), F.lit(1.0).alias("sign")), F.struct(F.col("item_id_b").alias("item_id"), F.lit(-1.0).alias("sign")))).alias("e")
+    sums = pairs.select("user_id", ends, "lam", "weight").groupBy("user_id", F.col("e.item_id").alias("item_id"))
+    sums = sums.agg(F.sum(F.col("lam") * F.col("e.sign")).alias("lam"), F.sum("weight").alias("weight"))
+    out = rows.select("user_id", "item_id").join(sums, ["user_id", "item_id"], "left")
+    return out.select("user_id", "item_id", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 class PairwiseLinearRanker:
@@ -41,7 +86,7 @@ class PairwiseLinearRanker:
 
     def fit(self, rows: DataFrame) -> PairwiseLinearRanker:
         self.columns = feature_columns(rows)
-        self.vectors = _vectors(rows, self.columns)
+        self.vectors = _vectors(rows, self.columns, tree=False)
         d = self.vectors.transform(_prepared(rows, self.columns)).select("user_id", "label", vector_to_array("features").alias("v"))
         mean = d.where("label = 0").select("user_id", F.posexplode("v").alias("k", "x")).groupBy("user_id", "k").agg(F.avg("x").alias("x"))
         mean = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda z: z["x"]).alias("m"))
@@ -74,32 +119,28 @@ class PairwiseLinearRanker:
 
 
 class LambdaTreeRanker:
-    """Boosted regression trees on NDCG-weighted pairwise gradients. Each round, window
-    functions give every row its rank and its lambda against the user's other class:
-    ``noise`` > 0 perturbs scores before ranking, as stochastic-rank losses do."""
+    """Boosted regression trees on the gradients of :func:`lambdas`: each tree fits
+    gradient over curvature, weighted by the curvature, so a leaf holds a Newton step.
+    ``noise`` > 0 perturbs scores before ranking, as stochastic-rank losses do. Scores are
+    cut off from their lineage every few rounds."""
 
-    def __init__(self, rounds: int = 10, rate: float = 0.05, depth: int = 6, noise: float = 0.0, seed: int = 42) -> None:
-        self.rounds, self.rate, self.depth, self.noise, self.seed = rounds, rate, depth, noise, seed
+    def __init__(self, rounds: int = 10, rate: float = 0.05, depth: int = 6, noise: float = 0.0, seed: int = 42, every: int = 5) -> None:
+        self.rounds, self.rate, self.depth, self.noise, self.seed, self.every = rounds, rate, depth, noise, seed, every
 
     def fit(self, rows: DataFrame) -> LambdaTreeRanker:
         self.columns = feature_columns(rows)
         self.vectors = _vectors(rows, self.columns)
-        d = self.vectors.transform(_prepared(rows, self.columns)).select("user_id", "item_id", "label", "features").withColumn("s", F.lit(0.0)).persist()
+        cut = (lambda x: x.checkpoint()) if rows.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
+        d = cut(self.vectors.transform(_prepared(rows, self.columns)).select("user_id", "item_id", "label", "features").withColumn("s", F.lit(0.0)))
         self.trees = []
-        user = W.partitionBy("user_id")
         for r in range(self.rounds):
-            u = F.pmod(F.xxhash64(F.lit(self.seed + r), "user_id", "item_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-            seen = F.col("s") + self.noise * F.ln((u + 1e-9) / (1 - u + 1e-9)) if self.noise else F.col("s")
-            g = d.withColumn("z", seen).withColumn("rank", F.row_number().over(user.orderBy(F.desc("z"), "item_id")))
-            g = g.withColumn("gain", 1 / F.log2(F.col("rank") + 1.0))
-            # against the other class as a whole: its mean score and mean discount
-            other = lambda c: F.when(F.col("label") == 1, F.avg(F.when(F.col("label") == 0, F.col(c))).over(user)).otherwise(F.avg(F.when(F.col("label") == 1, F.col(c))).over(user))
-            sign = 2 * F.col("label") - 1
-            rho = 1 / (1 + F.exp(sign * (F.col("z") - F.coalesce(other("z"), F.col("z")))))
-            lam = sign * rho * (F.abs(F.col("gain") - F.coalesce(other("gain"), F.col("gain"))) + 1e-3)
-            tree = DecisionTreeRegressor(maxDepth=self.depth, labelCol="lam", featuresCol="features", predictionCol="p", seed=self.seed + r).fit(g.withColumn("lam", lam))
+            g = d.join(lambdas(d, self.noise, self.seed + r), ["user_id", "item_id"])
+            g = g.withColumn("step", F.when(F.col("weight") > 0, F.col("lam") / F.col("weight")).otherwise(0.0)).withColumn("weight", F.col("weight") + 1e-6)
+            tree = DecisionTreeRegressor(maxDepth=self.depth, maxBins=CODES + 2, labelCol="step", weightCol="weight", featuresCol="features", predictionCol="p", seed=self.seed + r).fit(g)
             self.trees.append(tree)
             d = tree.transform(d).withColumn("s", F.col("s") + self.rate * F.col("p")).drop("p")
+            if r % self.every == self.every - 1:
+                d = cut(d)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ def similarity(inter: DataFrame) -> DataFrame:
     norm = ui.groupBy("item_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     ui = ui.join(norm, "item_id").select("user_id", "item_id", (F.col("c") / F.col("norm")).alias("w"))
     a, b = ui.selectExpr("user_id", "item_id AS item_i", "w AS wi"), ui.selectExpr("user_id", "item_id AS item_j", "w AS wj")
-    pairs = a.join(b, "user_id").where("item_i <> item_j")
-    return pairs.groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
+    pairs = a.join(b, "user_id").where("item_i < item_j")  # one direction; the sums are mirrored
+    sims = pairs.groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
+    ways = F.array(F.struct("item_i", "item_j"), F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j")))
+    return sims.select(F.explode(ways).alias("p"), "sim").select("p.item_i", "p.item_j", "sim")
 
 
 def decay(inter: DataFrame, tau: float) -> DataFrame:

@@ -6,8 +6,10 @@ Caches are Parquet tables keyed by a hash of their parameters; ``--force`` write
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import hashlib
 import json
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from ..sources import readers
 MODES = ("train_bpr", "train_tfidf", "train_bm25", "train_reranker", "evaluate", "compare_baselines", "candidate_recall", "submit", "ensemble_evaluate", "ensemble_submit")
 
 
+_ALL = tuple(f.name for f in dataclasses.fields(Settings))
+
+
 class Recommender:
     """Lazy data of a folder (train.csv, test.csv, item_meta.csv, sample_submission.csv) and what is derived."""
 
@@ -38,10 +43,20 @@ class Recommender:
     def targets(self) -> DataFrame:
         return readers.targets(self.spark, f"{self.folder}/test.csv", self.users())
 
-    def cache(self, name: str, make, **key) -> DataFrame:
+    @cached_property
+    def data_mark(self) -> list:
+        """What tells these data from others; one scan."""
         rows = self.train.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("user_id", "item_id", "ts"), F.lit(1 << 40)))).first()
-        mark = hashlib.sha256(json.dumps([key, self.content, repr(self.s), list(rows)], sort_keys=True, default=str).encode()).hexdigest()[:12]
-        path = f"{self.out}/{name}-{mark}"
+        meta = self.meta.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(*self.meta.columns), F.lit(1 << 40)))).first()
+        return [*rows, *meta]
+
+    def path(self, name: str, *keys: str, **key) -> str:
+        """Where ``name`` is kept: by the data, the settings ``keys``, and ``key``."""
+        about = [key, {k: getattr(self.s, k) for k in keys}, self.data_mark]
+        return f"{self.out}/{name}-{hashlib.sha256(json.dumps(about, sort_keys=True, default=str).encode()).hexdigest()[:12]}"
+
+    def cache(self, name: str, make, *keys: str, **key) -> DataFrame:
+        path = self.path(name, *keys, **key)
         found = None if self.force else readers.cached(self.spark, path)
         if found is None:
             make().write.mode("overwrite").parquet(path)
@@ -52,14 +67,16 @@ class Recommender:
 
     def factors(self, full: bool) -> tuple[DataFrame, DataFrame]:
         s, data = self.s, self.train if full else self.fit_part
+        split = ("holdout", "min_rows", "factors", "learning_rate", "regularization", "seed")
 
         def make() -> DataFrame:
-            users, items, history = bpr.train(data, s.factors, s.iterations, s.learning_rate, s.regularization, s.seed)
+            saved = None if self.force else self.path("bpr-state", *split, full=full)  # without the number of iterations: more go on
+            users, items, history = bpr.train(data, s.factors, s.iterations, s.learning_rate, s.regularization, s.seed, saved=saved)
             losses = [(i + 1, float(x)) for i, x in enumerate(history)]
             self.spark.createDataFrame(losses, "iteration int, loss double").coalesce(1).write.mode("overwrite").json(f"{self.out}/bpr_loss_{'full' if full else 'split'}")
             return users.withColumn("kind", F.lit("user")).unionByName(items.withColumn("kind", F.lit("item")))
 
-        f = self.cache("bpr", make, full=full)
+        f = self.cache("bpr", make, *split, "iterations", full=full)
         return f.where("kind = 'user'").drop("kind"), f.where("kind = 'item'").drop("kind")
 
     def weights(self) -> DataFrame:
@@ -68,7 +85,7 @@ class Recommender:
             return self.cache("bm25", lambda: retrieval.bm25_weights(retrieval.bm25_postings(self.texts), n))
         counts = retrieval.tfidf_counts(self.texts)
         s = self.s
-        return self.cache("tfidf", lambda: retrieval.tfidf_weights(counts, retrieval.tfidf_vocabulary(counts, n, s.max_features, s.min_df, s.max_df), n))
+        return self.cache("tfidf", lambda: retrieval.tfidf_weights(counts, retrieval.tfidf_vocabulary(counts, n, s.max_features, s.min_df, s.max_df), n), "max_features", "min_df", "max_df")
 
     def profile(self, seen: DataFrame) -> DataFrame:
         if self.content == "bm25":
@@ -99,14 +116,18 @@ class Recommender:
 
     def training_rows(self) -> DataFrame:
         users = self.val.select("user_id").distinct()
-        rows = self.cache("reranker_train", lambda: self.dataset(self.fit_part, users, False, self.val))
+        rows = self.cache("reranker_train", lambda: self.dataset(self.fit_part, users, False, self.val), *_ALL, content=self.content)
         return features.with_positives(rows)
 
     def inference_rows(self) -> DataFrame:
-        return self.cache("reranker_inference", lambda: self.dataset(self.train, self.users(), True, None))
+        return self.cache("reranker_inference", lambda: self.dataset(self.train, self.users(), True, None), *_ALL, content=self.content)
+
+    def ranker_path(self, name: str) -> str:
+        """A ranker is kept by the data, the settings and the content model it was fitted with."""
+        return self.path(f"ranker-{name}", *_ALL, content=self.content)
 
     def predictions(self, name: str) -> DataFrame:
-        return rankers.ranker(name).load(self.spark, f"{self.out}/ranker-{name}").predict(self.inference_rows())
+        return rankers.ranker(name).load(self.spark, self.ranker_path(name)).predict(self.inference_rows())
 
     def top(self, name: str) -> DataFrame:
         return core.ranked(self.predictions(name), self.s.top_k)
@@ -167,7 +188,7 @@ def main(argv: list[str] | None = None) -> None:
         r.content = a.mode.removeprefix("train_")
         r.weights()
     elif a.mode == "train_reranker":
-        rankers.ranker(a.reranker).fit(r.training_rows()).save(f"{a.out}/ranker-{a.reranker}")
+        rankers.ranker(a.reranker).fit(r.training_rows()).save(r.ranker_path(a.reranker))
     elif a.mode in ("evaluate", "ensemble_evaluate"):
         recs = r.top(a.reranker) if a.mode == "evaluate" else r.ensemble(a.lgbm_weight)
         print(f"Recall@{r.s.top_k}: {core.recall(recs, r.targets(), r.s.top_k).first()[0]:.4f}")

@@ -153,7 +153,9 @@ ORACLES = {
     "cooc_candidate_scores": f"""WITH {_COOC}, {_CAND} SELECT user_id, item_id, CASE WHEN item_id IN (SELECT item_id FROM clicks) THEN round(coalesce(score, 0.0), 6) END AS cooc_score
       FROM cand LEFT JOIN cooc USING (user_id, item_id)""",
     "bm25_token_counts": f"WITH {_BM25_TERMS} SELECT doc_id AS item_id, CAST(coalesce(sum(tf), 0) AS BIGINT) AS n, count(term) AS n_distinct FROM documents LEFT JOIN post ON item_id = doc_id GROUP BY 1",
-    "bm25_idf": f"WITH {_CLICKS}, {_BM25} SELECT term, round(idf, 6) AS idf FROM idf",
+    "bm25_idf": f"""WITH {_BM25_TERMS.replace('AS (', 'AS MATERIALIZED (', 1)}, df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY 1),
+      raw AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df CROSS JOIN (SELECT count(*) AS n FROM documents))
+      SELECT term, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw CROSS JOIN (SELECT avg(raw) AS mean FROM raw)""",
     "bm25_top10": f"WITH {_CLICKS}, {_BM25}, {_top('matched', 10, 6)} SELECT user_id, item_id, rank, round(score, 4) AS score FROM top",
     "bm25_candidate_scores": f"""WITH {_CLICKS}, {_BM25}, {_CAND} SELECT user_id, item_id, CASE WHEN item_id IN (SELECT doc_id FROM documents) AND
       user_id IN (SELECT user_id FROM prof) THEN round(coalesce(score, 0.0), 4) END AS bm25_score FROM cand LEFT JOIN matched USING (user_id, item_id)""",
@@ -172,6 +174,21 @@ ORACLES = {
     "bpr_loss_given_factors": f"WITH {_TRIPLES} SELECT round(avg(ln(1 + exp(-x))), 6) AS loss FROM tri",
     "bpr_one_gradient": f"""WITH {_TRIPLES}, z AS (SELECT *, unnest(range(len(fu))) AS k FROM tri)
       SELECT user_id, item_id, negative_id, CAST(k AS INT) AS k, round(fu[k + 1] + 0.01 * (1 / (1 + exp(x)) * (fi[k + 1] - fj[k + 1]) - 0.01 * fu[k + 1]), 6) AS f FROM z""",
+    "bpr_item_gradient": f"""WITH {_TRIPLES}, z AS (SELECT *, 1 / (1 + exp(x)) AS g, unnest(range(len(fu))) AS k FROM tri),
+      s AS (SELECT *, fi[k + 1] AS i, fj[k + 1] AS j, fu[k + 1] + 0.01 * (g * (fi[k + 1] - fj[k + 1]) - 0.01 * fu[k + 1]) AS u FROM z)
+      SELECT user_id, item_id, negative_id, CAST(k AS INT) AS k, round(i + 0.01 * (g * u - 0.01 * i), 6) AS fi, round(j + 0.01 * (-g * u - 0.01 * j), 6) AS fj FROM s""",
+    "candidate_generation": f"""WITH {_COOC}, {_TFIDF}, uf AS (SELECT vec_id // 2 AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id % 2 = 0 AND vec_id // 2 IN (SELECT user_id FROM clicks)),
+      vf AS (SELECT vec_id // 2 AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id % 2 = 1),
+      dots AS (SELECT u.id AS user_id, v.id AS item_id, list_dot_product(u.f, v.f) AS score FROM uf u CROSS JOIN vf v),
+      {_top('dots', 20, name='a')}, {_top('matched', 20, name='b')}, {_top('cooc', 20, name='c')},
+      u AS (SELECT user_id, item_id, 'bpr' AS s, rank FROM a UNION ALL SELECT user_id, item_id, 'tfidf', rank FROM b UNION ALL SELECT user_id, item_id, 'cooc', rank FROM c),
+      p AS (SELECT user_id, item_id, coalesce(max(rank) FILTER (s = 'bpr') - 1, -1) AS bpr_rank, coalesce(max(rank) FILTER (s = 'tfidf') - 1, -1) AS tfidf_rank,
+        coalesce(max(rank) FILTER (s = 'cooc') - 1, -1) AS cooc_rank FROM u GROUP BY 1, 2)
+      SELECT p.*, round(d.score, 6) AS bpr_score,
+        CASE WHEN p.item_id IN (SELECT doc_id FROM documents) AND p.user_id IN (SELECT user_id FROM prof) THEN round(coalesce(m.score, 0.0), 6) END AS tfidf_score,
+        CASE WHEN p.item_id IN (SELECT item_id FROM clicks) AND p.user_id IN (SELECT user_id FROM clicks) THEN round(coalesce(o.score, 0.0), 6) END AS cooc_score
+      FROM p LEFT JOIN dots d ON d.user_id = p.user_id AND d.item_id = p.item_id LEFT JOIN matched m ON m.user_id = p.user_id AND m.item_id = p.item_id
+      LEFT JOIN cooc o ON o.user_id = p.user_id AND o.item_id = p.item_id""",
     "candidate_union": f"""WITH {_COOC}, {_TFIDF}, {_top('cooc', 20, name='a')}, {_top('matched', 20, name='b')}, {_popular('clicks', 'clicks', 20, name='c')},
       u AS (SELECT user_id, item_id, 'cooc' AS s, rank FROM a UNION ALL SELECT user_id, item_id, 'tfidf', rank FROM b UNION ALL SELECT user_id, item_id, 'popular', rank FROM c)
       SELECT user_id, item_id, coalesce(max(rank) FILTER (s = 'cooc') - 1, -1) AS cooc_rank, coalesce(max(rank) FILTER (s = 'tfidf') - 1, -1) AS tfidf_rank,

@@ -325,6 +325,11 @@ def bpr_one_gradient(t: Tables) -> DataFrame:
     return B.gradient(_triples(t), t.factors(0), t.factors(1)).select("user_id", "item_id", "negative_id", "k", r6("f"))
 
 
+@query
+def bpr_item_gradient(t: Tables) -> DataFrame:
+    return B.item_gradient(_triples(t), t.factors(0), t.factors(1)).select("user_id", "item_id", "negative_id", "k", r6("fi"), r6("fj"))
+
+
 @query
 def bpr_train_top10(t: Tables) -> DataFrame:
     users, items, _ = B.train(t.clicks(), factors=16, epochs=3)
@@ -350,6 +355,22 @@ def candidate_union(t: Tables) -> DataFrame:
     return C.union_candidates(**_sources(t, 20))
 
 
+@query
+def candidate_generation(t: Tables) -> DataFrame:
+    """All three retrievers' ranks and scores; user u has the factors 2u, item i 2i + 1."""
+    c, seen = t.clicks(), C.seen(t.clicks())
+    fu = t.factors(0).select((F.col("id") / 2).cast("long").alias("id"), "f").join(c.selectExpr("user_id AS id"), "id", "left_semi")
+    fi = t.factors(1).select(((F.col("id") - 1) / 2).cast("long").alias("id"), "f")
+    profile, weights = _tfidf(t)
+    cooc = _cooc(t)
+    best = lambda scores: C.ranked(C.unseen(scores, seen), 20)
+    d = C.union_candidates(bpr=best(V.factor_scores(fu, fi)), tfidf=best(V.match(profile, weights)), cooc=best(cooc))
+    d = V.factor_of_candidates(d, fu, fi)
+    d = V.score_candidates(d, profile, weights, t.texts(), "tfidf_score")
+    d = V.cooc_of_candidates(d, cooc, c)
+    return d.select("user_id", "item_id", "bpr_rank", "tfidf_rank", "cooc_rank", r6("bpr_score"), r6("tfidf_score"), r6("cooc_score"))
+
+
 @query
 def candidate_recall_report(t: Tables) -> DataFrame:
     train, val = C.split(t.inter())
@@ -431,24 +452,33 @@ def reranker_features(t: Tables) -> DataFrame:
     return _training(t).select("user_id", "item_id", "popular_rank", r6("item_popularity"), "category_match", "store_match", r8("user_avg_price"), "label")
 
 
+def _inference(t: Tables) -> DataFrame:
+    """The same features from all interactions, for what comes after them."""
+    inter = t.inter()
+    items = X.item_features(t.meta(), inter)
+    pool = C.popular_for_users(inter, C.split(inter)[1].select("user_id").distinct(), C.seen(inter), 50)
+    return X.with_features(pool.select("user_id", "item_id", F.col("rank").alias("popular_rank")), items, X.user_features(inter, items))
+
+
+def _reranked(t: Tables, model) -> DataFrame:
+    """Fitted on the held-out part's labels, applied to candidates after all interactions."""
+    fitted = model.fit(X.with_positives(_training(t)))
+    return C.ranked(fitted.predict(_inference(t)), 10).select("user_id", "item_id", "rank", "score")
+
+
 @query
 def ranker_linear_top10(t: Tables) -> DataFrame:
-    rows = _training(t).persist()
-    return C.ranked(R.ranker("linear").fit(X.with_positives(rows)).predict(rows), 10).select("user_id", "item_id", "rank", "score")
+    return _reranked(t, R.ranker("linear"))
 
 
 @query
 def ranker_lambda_top10(t: Tables) -> DataFrame:
-    rows = _training(t).persist()
-    model = R.LambdaTreeRanker(rounds=3).fit(X.with_positives(rows))
-    return C.ranked(model.predict(rows), 10).select("user_id", "item_id", "rank", "score")
+    return _reranked(t, R.ranker("lambda"))
 
 
 @query
 def ranker_yeti_top10(t: Tables) -> DataFrame:
-    rows = _training(t).persist()
-    model = R.LambdaTreeRanker(rounds=3, noise=0.5).fit(X.with_positives(rows))
-    return C.ranked(model.predict(rows), 10).select("user_id", "item_id", "rank", "score")
+    return _reranked(t, R.ranker("yeti"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
