@@ -546,3 +546,13 @@ def test_warc_edges(spark, tmp_path):
     assert p.out[0][6] == b"ab\r\n\r\ncde" and p.out[0][7] == 9
     short = warc.mark_revisits(spark.createDataFrame([(1, None, "ab", 0), (2, None, "ab", 0), (2, None, "ab", 0), (None, None, "ab", 0)], P), min_bytes=3)
     assert short.where("refers_to is not null").count() == 0 and short.count() == 4
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_ngram_jaccard_join", "op7_embedding_near_dedup"])
+def test_same_rows_as_sql(spark, oracle, name):
+    from tidemark.llm import queries
+
+    assert as_rows(queries.QUERIES[name](spark, FOLDER)) == as_rows(oracle(queries.ORACLES[name], FOLDER))

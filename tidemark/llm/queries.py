@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, near_vectors, neighbours, ngram_join, packing, sharding, suffix_dedup, warc
+from . import langid, lines, mixing, near_vectors, neighbours, ngram_join, oracles, packing, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
@@ -18,4 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
+    "op2_line_dedup": oracles.LINES,
+    "op5_ngram_jaccard_join": oracles.NGRAMS,
+    "op7_embedding_near_dedup": oracles.VECTORS,
 }
