@@ -124,7 +124,7 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     at = [*key, "line_no"]
     docs = docs.select(*key, "text").where(" and ".join(f"`{c}` is not null" for c in [*key, "text"]))
     grams = _lines(docs, key).select(*at, _grams(F.col("line"), short).alias("grams"))
-    grams = stash(grams, "grams", compression="lz4")
+    grams = stash(grams, "grams", compression="zstd")
     levels, counters, hot = rarity(grams)
     rank = lambda lv: F.transform("grams", lambda g: lv[g.bitwiseAND(F.lit(counters - 1).cast("long"))].bitwiseOR(F.shiftrightunsigned(g, 8)))
 
@@ -135,12 +135,12 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
 
     lines = grams.where(F.size("grams") > 0).withColumn("levels", levels.scalar())
     lines = lines.select(*at, _let(F.sort_array(rank(F.col("levels"))), described).alias("x"))
-    lines = stash(lines.select(*at, "x.*"), "lines", compression="lz4")
+    lines = stash(lines.select(*at, "x.*"), "lines", compression="zstd")
     drop_stash(levels, grams)
     place = F.struct(*at)
     classes = lines.groupBy("k", "h").agg(F.min(place).alias("at"))
     lined = lines.join(classes, ["k", "h"]).withColumn("copy", place != F.col("at"))  # lines with equal sets: all but the first
-    lined = stash(lined.select(*at, "n", F.when(~F.col("copy"), F.col("prefix")).alias("prefix")), "classes", compression="lz4")
+    lined = stash(lined.select(*at, "n", F.when(~F.col("copy"), F.col("prefix")).alias("prefix")), "classes", compression="zstd")
     drop_stash(lines)
     posts = lined.where("prefix is not null").select(*at, "n", F.posexplode("prefix").alias("pos", "token"))
     over = F.shiftright("token", 56) - F.lit(hot)
@@ -154,7 +154,7 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
 
     # the whole sets of the lines that share a prefix token, and of some more
     marks, may = _marked(posts, at)
-    whole = stash(_lines(docs, key).where(may).select(*at, _grams(F.col("line"), short).alias("set")), "sets", compression="lz4")
+    whole = stash(_lines(docs, key).where(may).select(*at, _grams(F.col("line"), short).alias("set")), "sets", compression="zstd")
     drop_stash(marks)
 
     side = lambda p: [F.col(c).alias(p + c) for c in at]
