@@ -150,7 +150,8 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     order, mine = by.orderBy(*at), F.struct(*at, "n", "pos")
     posts = posts.withColumns({"first": F.first(mine).over(order), "prior": F.lag(mine).over(order)})
     posts = stash(posts.drop("many", "salt"), "postings")
-    free_shuffles(docs.sparkSession)
+    copies = stash(lined.where("prefix is null").select(*at), "copies")
+    drop_stash(lined)
 
     # the whole sets of the lines that share a prefix token, and of some more
     marks, may = _marked(posts, at)
@@ -173,6 +174,7 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     near = near.where(_similar_size(F.col("n"), F.col("o.n")) & (room >= _need(F.col("n"), F.col("o.n"))))
     near = near.select(*[F.col(f"o.{c}").alias(f"a_{c}") for c in at], *side("b_"))
     settled = stash(verified(near.distinct()), "settled")
+    free_shuffles(docs.sparkSession)
     # the others meet all earlier lines under their tokens
     a = posts.select("token", *side("a_"), F.col("n").alias("an"), F.col("pos").alias("ap"))
     b = posts.join(settled, at, "left_anti").select("token", *side("b_"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
@@ -182,9 +184,8 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     met = met.groupBy(*pair, "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
     met = met.where(F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1 >= _need(F.col("an"), F.col("bn")))
     rest = verified(met.select(*pair))
-    copies = lined.where("prefix is null").select(*at)
     found = stash(copies.unionByName(settled).unionByName(rest), "matches")  # disjoint
-    drop_stash(lined, posts, whole, settled)
+    drop_stash(copies, posts, whole, settled)
     return found
 
 
