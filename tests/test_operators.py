@@ -72,6 +72,37 @@ def test_cold_and_unknown_candidates(spark):
     assert got[1, 3] == pytest.approx(1 / np.sqrt(2)) and got[1, 99] is None and got[7, 1] is None
 
 
+def test_blocked_top_equals_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "USERS", 3)
+    monkeypatch.setattr(retrieval, "ITEMS", 4)
+    rng = np.random.default_rng(1)
+    big = 1 << 60  # ids that doubles cannot tell apart
+    make = lambda n: [(big + i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(n)] + [(big + n, None)]
+    users, items = (spark.createDataFrame(make(n), "id long, f array<double>") for n in (8, 17))
+    seen = spark.createDataFrame([(big, big + i) for i in range(15)] + [(big + 1, big + 3), (5, big), (big + 2, 7)], "user_id long, item_id long")
+    for of in (seen, None):
+        every = retrieval.factor_scores(users, items).where("score is not null")
+        want = core.ranked(core.unseen(every, of) if of else every, 5)
+        got = retrieval.factor_top(users, items, 5, of)
+        assert rows(got, "user_id", "rank", "item_id", "score") == rows(want, "user_id", "rank", "item_id", "score")
+    assert retrieval.factor_top(users, items.limit(0), 5).count() == 0
+
+
+def test_file_order_of_equal_times(spark, tmp_path):
+    from tidemark.sources import readers
+
+    (tmp_path / "t").mkdir()
+    for k in range(3):  # the later, the longer
+        lines = "".join(f"1,{100 * k + i},7\n" for i in range(1 + 40 * k))
+        (tmp_path / "t" / f"part-{k}.csv").write_text("user_id,item_id,timestamp\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = readers.interactions(spark, str(tmp_path / "t")).orderBy("ts", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["item_id"] for r in got] == [100 * k + i for k in range(3) for i in range(1 + 40 * k)]
+
+
 def test_negative_idf_is_replaced(spark):
     texts = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a")], "item_id long, text string")
     idf = {r["term"]: r["idf"] for r in retrieval.bm25_idf(retrieval.bm25_postings(texts), 3).collect()}

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, tfidf_terms
+from .core import ranked
 
+#: Users and items of a block, whose factors one task holds at a time.
+USERS, ITEMS = 8192, 16384
 
 # co-occurrence
 
@@ -139,6 +142,55 @@ def factor_scores(users: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.select("user_id", "item_id", dot("fu", "fi").alias("score"))
 
 
+def factor_top(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | None = None) -> DataFrame:
+    """user_id, item_id, rank, score: each user's k best items of (id, f) rows that are
+    not in ``seen_``, ranked as by :func:`ranked`; rows without factors take no part.
+
+    Blocks of users meet blocks of items. A meeting multiplies the two matrices, some
+    users at a time, and passes on k items a user, so what is shuffled is copies of the
+    factors, one for each block of the other side, and k rows for each user and block.
+    """
+    users, items = (d.select("id", "f").where("f is not null") for d in (users, items))
+    n_users, n_items = (d.count() // size + 1 for d, size in ((users, USERS), (items, ITEMS)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = users.select(block("id", n_users).alias("ub"), every(n_items).alias("ib"), "id", "f", F.lit(False).alias("pair"), F.lit(0).cast("long").alias("item"))
+    if seen_ is not None:
+        mine = seen_.select(block("user_id", n_users).alias("ub"), block("item_id", n_items).alias("ib"), F.col("user_id").alias("id"), F.lit(None).cast("array<double>").alias("f"), F.lit(True).alias("pair"), F.col("item_id").alias("item"))
+        left = left.unionByName(mine)
+    right = items.select(every(n_users).alias("ub"), block("id", n_items).alias("ib"), "id", "f")
+
+    def best(a, b):
+        import numpy as np
+        import pandas as pd
+
+        own, pairs = a[~a["pair"]], a[a["pair"]]
+        if own.empty or b.empty:
+            return pd.DataFrame({"user_id": [], "item_id": [], "score": []}).astype({"user_id": "int64", "item_id": "int64"})
+        order = np.argsort(b["id"].to_numpy(), kind="stable")
+        ids, v = b["id"].to_numpy()[order], np.array(b["f"].tolist(), float)[order]
+        met = {u: np.searchsorted(ids, g.to_numpy()) for u, g in pairs[pairs["item"].isin(ids)].groupby("id")["item"]}
+        out = []
+        for at in range(0, len(own), 256):  # a product of at most 256 rows is held
+            some = own.iloc[at : at + 256]
+            scores = np.array(some["f"].tolist(), float) @ v.T
+            for user, row in zip(some["id"].to_numpy(), scores, strict=True):
+                free = np.ones(len(ids), bool)
+                free[met.get(user, [])] = False
+                free = np.flatnonzero(free)
+                x = np.round(row[free], 9)
+                if len(free) > k:  # with ties, of which the smaller ids stay
+                    least = np.partition(x, len(x) - k)[len(x) - k]
+                    take = x > least
+                    take[np.flatnonzero(x == least)[: k - take.sum()]] = True
+                    free = free[take]
+                out.append(pd.DataFrame({"user_id": user, "item_id": ids[free], "score": row[free]}))
+        return pd.concat(out)
+
+    scored = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(best, "user_id long, item_id long, score double")
+    return ranked(scored, k)
+
+
 def factor_of_candidates(candidates: DataFrame, users: DataFrame, items: DataFrame, name: str = "bpr_score") -> DataFrame:
     """Null for users or items without factors."""
     d = candidates.join(users.selectExpr("id AS user_id", "f AS fu"), "user_id", "left").join(items.selectExpr("id AS item_id", "f AS fi"), "item_id", "left")

@@ -101,7 +101,7 @@ class Recommender:
         fu = fu.join(users.select(F.col("user_id").alias("id")), "id", "left_semi")
         cooc = retrieval.cooc_scores(mine, retrieval.similarity(data), self.s.tau)
         best = lambda scores: core.ranked(core.unseen(scores, seen), k)
-        return {"bpr": best(retrieval.factor_scores(fu, fi)), "tfidf": best(retrieval.match(self.profile(seen), self.weights())), "cooc": best(cooc)}
+        return {"bpr": retrieval.factor_top(fu, fi, k, seen), "tfidf": best(retrieval.match(self.profile(seen), self.weights())), "cooc": best(cooc)}
 
     def dataset(self, data: DataFrame, users: DataFrame, full: bool, targets: DataFrame | None) -> DataFrame:
         """Every candidate scored by all retrievers, with all features."""

@@ -214,4 +214,17 @@ ORACLES = {
     "reranker_features": f"""WITH {_TRAIN} SELECT p.user_id, p.item_id, rank AS popular_rank, round(item_popularity, 6) AS item_popularity, {_CROSS},
       round(user_avg_price, 8) AS user_avg_price, CAST((p.user_id, p.item_id) IN (SELECT (user_id, item_id) FROM val) AS INT) AS label
       FROM pool p JOIN itemf USING (item_id) JOIN userf USING (user_id) JOIN modes USING (user_id)""",
+    "interactions_csv": f"WITH {_INTER} SELECT * FROM inter",
+    "item_meta_csv": f"WITH {_META} SELECT item_id, title, main_category, store, average_rating, CAST(rating_number AS DOUBLE) AS rating_number, price FROM meta",
+    "targets_csv": f"WITH {_SPLIT}, {_CLICKS} SELECT user_id, item_id FROM val WHERE user_id IN (SELECT user_id FROM clicks)",
+    "loaded_counts": f"""WITH {_SPLIT}, {_CLICKS} SELECT 'train' AS name, count(*) AS n FROM inter UNION ALL SELECT 'train_split', count(*) FROM train
+      UNION ALL SELECT 'validation', count(*) FROM val UNION ALL SELECT 'items', count(*) FROM part UNION ALL SELECT 'texts', count(*) FROM part
+      UNION ALL SELECT 'users', count(DISTINCT user_id) FROM clicks UNION ALL SELECT 'targets', count(*) FROM val WHERE user_id IN (SELECT user_id FROM clicks)""",
+    "positives_summary": f"""WITH {_TRAIN}, d AS (SELECT user_id, CAST((user_id, item_id) IN (SELECT (user_id, item_id) FROM val) AS INT) AS label FROM pool)
+      SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (label = 1) AS users_with_positives FROM d""",
+    "inference_features": f"""WITH {_SPLIT}, {_META}, {_features()}, {_popular('inter', 'val', 50, name='pool')}
+      SELECT p.user_id, p.item_id, rank AS popular_rank, round(item_popularity, 6) AS item_popularity, {_CROSS}, round(user_avg_price, 8) AS user_avg_price
+      FROM pool p JOIN itemf USING (item_id) JOIN userf USING (user_id) JOIN modes USING (user_id)""",
 }
+ORACLES["submission_csv"] = ORACLES["submission_rows"]
+ORACLES["cached_item_features"] = ORACLES["item_features"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, item_text, tfidf_terms
@@ -11,7 +12,10 @@ from ..operators import core as C
 from ..operators import features as X
 from ..operators import rankers as R
 from ..operators import retrieval as V
+from ..settings import Settings
+from ..sources import readers, scratch
 from ..sources.testdata import Tables
+from .modes import Recommender
 
 TAU = 365 * 24 * 60 * 60.0
 QUERIES: dict = {}
@@ -302,7 +306,7 @@ def bpr_dot_scores(t: Tables) -> DataFrame:
 
 @query
 def bpr_top10(t: Tables) -> DataFrame:
-    return C.ranked(V.factor_scores(t.factors(0), t.factors(1)), 10).select("user_id", "item_id", "rank", r6("score"))
+    return V.factor_top(t.factors(0), t.factors(1), 10).select("user_id", "item_id", "rank", r6("score"))
 
 
 @query
@@ -333,7 +337,7 @@ def bpr_item_gradient(t: Tables) -> DataFrame:
 @query
 def bpr_train_top10(t: Tables) -> DataFrame:
     users, items, _ = B.train(t.clicks(), factors=16, epochs=3)
-    return C.ranked(C.unseen(V.factor_scores(users, items), C.seen(t.clicks())), 10).select("user_id", "item_id", "rank", "score")
+    return V.factor_top(users, items, 10, C.seen(t.clicks()))
 
 
 # candidates, ensemble, metrics, output
@@ -364,7 +368,7 @@ def candidate_generation(t: Tables) -> DataFrame:
     profile, weights = _tfidf(t)
     cooc = _cooc(t)
     best = lambda scores: C.ranked(C.unseen(scores, seen), 20)
-    d = C.union_candidates(bpr=best(V.factor_scores(fu, fi)), tfidf=best(V.match(profile, weights)), cooc=best(cooc))
+    d = C.union_candidates(bpr=V.factor_top(fu, fi, 20, seen), tfidf=best(V.match(profile, weights)), cooc=best(cooc))
     d = V.factor_of_candidates(d, fu, fi)
     d = V.score_candidates(d, profile, weights, t.texts(), "tfidf_score")
     d = V.cooc_of_candidates(d, cooc, c)
@@ -481,5 +485,71 @@ def ranker_yeti_top10(t: Tables) -> DataFrame:
     return _reranked(t, R.ranker("yeti"))
 
 
+# files: the tables as the CSV files that the modes read, and what comes back
+
+
+def _written(t: Tables) -> Recommender:
+    """A recommender over the tables, written as CSV in time order."""
+    to = scratch.folder(t.spark)
+    csv = lambda d, name: d.write.option("header", True).option("escape", '"').csv(f"{to}/{name}")
+    # part files by user, each user's rows in order: seq is then the order of the file
+    csv(t.inter().repartitionByRange("user_id").sortWithinPartitions("user_id", "seq").select("user_id", "item_id", F.col("ts").alias("timestamp")), "train.csv")
+    csv(C.split(t.inter())[1].select("user_id", "item_id", F.col("ts").alias("timestamp")), "test.csv")
+    csv(t.meta(), "item_meta.csv")
+    csv(t.clicks().select("user_id").distinct().select(F.lit(0).alias("ID"), "user_id", F.lit("").alias("item_id")), "sample_submission.csv")
+    return Recommender(t.spark, to, f"{to}/out", Settings(tau=TAU))
+
+
+@query
+def interactions_csv(t: Tables) -> DataFrame:
+    order = W.partitionBy("user_id").orderBy("ts", "seq")
+    return _written(t).train.withColumn("seq", F.row_number().over(order).cast("long"))
+
+
+@query
+def item_meta_csv(t: Tables) -> DataFrame:
+    return _written(t).meta
+
+
+@query
+def targets_csv(t: Tables) -> DataFrame:
+    return _written(t).targets()
+
+
+@query
+def loaded_counts(t: Tables) -> DataFrame:
+    """Rows of everything that the modes load."""
+    r = _written(t)
+    parts = {"train": r.train, "train_split": r.fit_part, "validation": r.val, "items": r.meta, "texts": r.texts, "users": r.users(), "targets": r.targets()}
+    return r._report({k: d.agg(F.count(F.lit(1)).alias("recall")) for k, d in parts.items()}).withColumnRenamed("recall", "n")
+
+
+@query
+def cached_item_features(t: Tables) -> DataFrame:
+    """The second call reads what the first has written."""
+    r = _written(t)
+    make = lambda: X.item_features(r.meta, r.train)
+    r.cache("item_features", make)
+    return r.cache("item_features", lambda: make().limit(0)).withColumns({c: F.round(c, 6) for c in ("item_popularity", "log_rating_number")})
+
+
+@query
+def submission_csv(t: Tables) -> DataFrame:
+    recs, to = _recs(t), f"{scratch.folder(t.spark)}/submission"
+    C.write_submission(recs, t.inter().select("user_id"), to)
+    return readers.read_csv(t.spark, to).select(F.col("ID").cast("int").alias("ID"), F.col("user_id").cast("long").alias("user_id"), "item_id")
+
+
+@query
+def positives_summary(t: Tables) -> DataFrame:
+    d = _training(t)
+    return d.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.count_distinct("user_id").alias("users"), F.count_distinct(F.when(F.col("label") == 1, F.col("user_id"))).alias("users_with_positives"))
+
+
+@query
+def inference_features(t: Tables) -> DataFrame:
+    return _inference(t).select("user_id", "item_id", "popular_rank", r6("item_popularity"), "category_match", "store_match", r8("user_avg_price"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["cooc_top10"](spark, sf_dir)
