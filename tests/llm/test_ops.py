@@ -79,6 +79,17 @@ def test_suffix_dedup_of_short_texts_only(spark):
     assert got == {i: (len(b), 0, b) for i, b in enumerate((t or "").encode() for t in few)}
 
 
+def test_suffix_dedup_within_and_across_blocks(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    p, q, r, s = (text(n) for n in (300, 250, 220, 700))
+    few = [text(50) + p, p + text(90), text(30) + q + text(70) + q, r + text(40), text(99), text(80) + p + text(10), text(500), text(20) + r, s, text(60), s, s + text(5) + s]
+    d = spark.createDataFrame(list(enumerate(few)), "doc_id long, text string").repartitionByRange(3, "doc_id")
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.remove_repeats(d).collect()}
+    want = {i: (int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())) for i, c in enumerate(removed(few))}
+    assert got == want and [want[i][0] for i in (0, 2, 3, 8, 11)] == [300, 500, 220, 700, 1400]
+
+
 def test_suffix_dedup_of_odd_ids(spark):
     last, long = 2**63 - 1, "".join(map(str, range(300)))
     few = [(None, long), (last, long), (5, long[:400] + "x"), (5, "y" + long[:400]), (None, None), (5, "short"), (5, "short")]

@@ -3,7 +3,8 @@
 The suffix array is sparse. Of each 200-byte window the suffix at one place counts, the
 first one with the least hash of its next 48 bytes; equal windows have it at the same
 place, and neighbouring windows mostly share it, so a few in a hundred suffixes remain.
-Those whose 48 bytes occur once in the corpus can't repeat and go (a hash exchange).
+Those whose 48 bytes occur once in the corpus can't repeat and go (a hash exchange, to
+which each block of some 16 MB of texts sends a hash once, however often it has it).
 
 Distributed merge sort: each task sorts its suffixes, cuts the run by splitters drawn
 from a sample of the corpus, front-codes the parts, and sends each to its range. There
@@ -120,13 +121,23 @@ def _record(kind: str):
     return lambda rows: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+#: Marks a place whose 48 bytes its block has more than once.
+_KNOWN = _U(1 << 63)
+_SETTLED = -(1 << 29)
+
+
+def _bucket(uid: np.ndarray, buckets: int) -> np.ndarray:
+    return (uid >> 8) % buckets
+
+
 _DEALT = "shard int, base long, counts binary, hashes binary, places binary, extra binary"
 _dealt = _record(_DEALT)
 
 
 def _deal(batches, shards: int):
-    """Per shard, the suffixes' hashes and places; in shard -1 - x documents, in shard
-    -(1 << 30) samples of suffixes."""
+    """Per shard, the suffixes' hashes and places, each hash once, its place with _KNOWN if
+    it is here more often; from shard _SETTLED the places that this leaves out, by buckets
+    of documents; in shard -1 - x documents, in shard -(1 << 30) samples of suffixes."""
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 40
@@ -137,10 +148,21 @@ def _deal(batches, shards: int):
         h, p, s1, s2 = (np.concatenate(c) for c in zip(*found, strict=True))
         doc = np.repeat(np.arange(len(found)), sizes)
         place = p.astype(np.uint64) << _U(16) | (p - s1).astype(np.uint64) << _U(8) | (p - s2).astype(np.uint64)
+        order = np.argsort(h, kind="stable")
+        again = np.append(np.zeros(min(len(h), 1), bool), h[order][1:] == h[order][:-1])
+        place[order[np.append(again[1:], np.zeros(min(len(h), 1), bool)) & ~again]] |= _KNOWN
+        out, rest = [], order[again]
+        uid = base + doc[rest]
+        bucket = _bucket(uid, 4 * shards)
+        by_doc = np.lexsort([uid, bucket])
+        edge = np.flatnonzero(np.diff(bucket[by_doc], prepend=-1, append=-1)) if len(rest) else []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            own = by_doc[a:b]
+            out.append((_SETTLED + (base + len(docs)) % shards, int(bucket[own[0]]), uid[own].tobytes(), None, place[rest[own]].tobytes(), None))
         shard = (h % _U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        sent = np.sort(order[~again])
+        order = sent[np.argsort(shard[sent], kind="stable")]
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        out = []
         for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if b > a:
                 own = order[a:b]
@@ -173,16 +195,16 @@ _shared_rows = _record(_SHARED)
 
 def _shared(batches, buckets: int):
     """Places of suffixes whose hash is there twice or more (kind 0), by buckets of
-    documents; documents (kind 1) and samples (kind 2) pass."""
+    documents; settled places, documents (kind 1) and samples (kind 2) pass."""
     hashes, places, docs, own = [], [], [], None
 
     def flush():
         h, v, d = np.concatenate(hashes), np.concatenate(places), np.concatenate(docs)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
-        many = order[np.append(same, False) | np.append(False, same)]
-        d, v = d[many], v[many]
-        bucket = (d >> 8) % buckets
+        many = order[np.append(same, False) | np.append(False, same) | (v[order] >= _KNOWN)]
+        d, v = d[many], v[many] & ~_KNOWN
+        bucket = _bucket(d, buckets)
         order = np.lexsort([v, d, bucket])
         d, v = d[order], v[order]
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -193,6 +215,9 @@ def _shared(batches, buckets: int):
             if shard == -(1 << 30):
                 yield _shared_rows([(2, 0, None, None, extra)])
                 continue
+            if shard < _SETTLED + (1 << 28):
+                yield _shared_rows([(0, base, counts, v, None)])
+                continue
             if shard < 0:
                 ids = np.frombuffer(counts, np.int64)
                 uid = base + np.arange(len(ids))
