@@ -150,7 +150,8 @@ def factor_top(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | No
     users at a time, and passes on k items a user, so what is shuffled is copies of the
     factors, one for each block of the other side, and k rows for each user and block.
     """
-    users, items = (d.select("id", "f").where("f is not null") for d in (users, items))
+    users = users.select("id", "f").where("f is not null")
+    items = items.selectExpr("id AS item", "f AS v").where("v is not null")  # both may come from one table
     n_users, n_items = (d.count() // size + 1 for d, size in ((users, USERS), (items, ITEMS)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -158,7 +159,7 @@ def factor_top(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | No
     if seen_ is not None:
         mine = seen_.select(block("user_id", n_users).alias("ub"), block("item_id", n_items).alias("ib"), F.col("user_id").alias("id"), F.lit(None).cast("array<double>").alias("f"), F.lit(True).alias("pair"), F.col("item_id").alias("item"))
         left = left.unionByName(mine)
-    right = items.select(every(n_users).alias("ub"), block("id", n_items).alias("ib"), "id", "f")
+    right = items.select(every(n_users).alias("ub"), block("item", n_items).alias("ib"), "item", "v")
 
     def best(a, b):
         import numpy as np
@@ -167,8 +168,8 @@ def factor_top(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | No
         own, pairs = a[~a["pair"]], a[a["pair"]]
         if own.empty or b.empty:
             return pd.DataFrame({"user_id": [], "item_id": [], "score": []}).astype({"user_id": "int64", "item_id": "int64"})
-        order = np.argsort(b["id"].to_numpy(), kind="stable")
-        ids, v = b["id"].to_numpy()[order], np.array(b["f"].tolist(), float)[order]
+        order = np.argsort(b["item"].to_numpy(), kind="stable")
+        ids, v = b["item"].to_numpy()[order], np.array(b["v"].tolist(), float)[order]
         met = {u: np.searchsorted(ids, g.to_numpy()) for u, g in pairs[pairs["item"].isin(ids)].groupby("id")["item"]}
         out = []
         for at in range(0, len(own), 256):  # a product of at most 256 rows is held
