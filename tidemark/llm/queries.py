@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, near_vectors, neighbours, ngram_join, oracles, packing, sharding, suffix_dedup, warc
+from . import divergence, langid, lines, media, mixing, near_vectors, neighbours, ngram_join, oracles, packing, sharding, spelling, suffix_dedup, warc
 
 QUERIES = {
     "op10_warc_chunked": warc.op10,
@@ -15,10 +15,15 @@ QUERIES = {
     "op2_line_dedup": lines.op2,
     "op5_ngram_jaccard_join": ngram_join.op5,
     "op1_suffix_array_dedup": suffix_dedup.op1,
+    "op11_wav_fingerprints": media.op11,
+    "op12_spelling_variants": spelling.op12,
+    "op13_source_divergence": divergence.op13,
 }
 ORACLES = {
     "op10_warc_chunked": warc.ORACLE,
     "op2_line_dedup": oracles.LINES,
     "op5_ngram_jaccard_join": oracles.NGRAMS,
     "op7_embedding_near_dedup": oracles.VECTORS,
+    "op12_spelling_variants": oracles.SPELLING,
+    "op13_source_divergence": oracles.DIVERGENCE,
 }
