@@ -194,11 +194,23 @@ def test_neighbourhood_is_distinct_and_whole(spark):
     v = spark.createDataFrame([("aab", 1), ("b", 1), ("\U0001f600a", 1)], "word string, n long")
     letters = spelling.alphabet(v).first()["letters"]
     assert letters == ["a", "b", "\U0001f600"]
-    got = collections.Counter(tuple(r) for r in spelling.neighbourhood(v, letters).collect())
-    assert set(got.values()) == {1}
-    for w in ("aab", "b", "\U0001f600a"):
+    for w in ("aab", "b", "\U0001f600a", "aaaa"):
         edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + k :] for c in letters for k in (0, 1) for i in range(len(w) + 1 - k)}
-        assert {x for y, x in got if y == w} == edits - {w}
+        got = list(spelling.neighbourhood(w, letters, 0, 99))
+        assert len(set(got)) == len(got) and set(got) == edits - {w}
+        assert got == [x for i in range(len(w) + 1) for x in spelling.neighbourhood(w, letters, i, i + 1)]
+
+
+@pytest.mark.parametrize("shortest", [1, 2, 3, 4, 5, 6, 7])
+def test_near_words_of_any_length(spark, shortest):
+    rng = np.random.default_rng(shortest)
+    words = sorted({"".join(rng.choice(list("ab\U0001f600" if shortest < 5 else "ab"), rng.integers(shortest, shortest + 3))) for _ in range(250)})
+    n = {w: int(rng.integers(1, 20)) for w in words}
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    want = {(w, len(x), best := min(x, key=lambda v: (-n[v], v)), n[best]) for w, x in near.items() if x}
+    d = spark.createDataFrame([*n.items(), ("", 99)], "word string, n long")
+    got = spelling.near_words(d, size=7 if shortest % 2 else 20_000).collect()  # several parts for a place
+    assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
 def test_op12_is_its_sql(spark, oracle):
