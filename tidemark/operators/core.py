@@ -75,6 +75,17 @@ def recall(recs: DataFrame, targets: DataFrame, k: int | None = 10) -> DataFrame
     return per.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("recall"))
 
 
+def ndcg(scores: DataFrame, k: int | None = None) -> DataFrame:
+    """One row, ``ndcg``: mean over the users with a positive ``label`` of the discounted gain
+    of their first k rows by ``score`` (all if None), divided by the largest possible."""
+    user = W.partitionBy("user_id")
+    d = scores.select("user_id", (F.col("label") > 0).cast("int").alias("y"), F.row_number().over(user.orderBy(F.col("score").desc_nulls_last(), "item_id")).alias("rank"))
+    d = d.withColumn("ideal", F.row_number().over(user.orderBy(F.desc("y"))))
+    gain = lambda place: F.sum(F.when((F.col("y") == 1) & (F.col(place) <= k if k else F.lit(True)), 1 / F.log2(F.col(place) + 1.0)).otherwise(0.0))
+    per = d.groupBy("user_id").agg(gain("rank").alias("dcg"), gain("ideal").alias("best")).where("best > 0")
+    return per.agg(F.coalesce(F.avg(F.col("dcg") / F.col("best")), F.lit(0.0)).alias("ndcg"))
+
+
 def minmax(scores: DataFrame, *columns: str) -> DataFrame:
     """Each column scaled to [0, 1] per user; 0 where all are equal."""
     user = W.partitionBy("user_id")

@@ -1,27 +1,25 @@
 """Learned rerankers with one surface: fit, predict, save, load.
 
-The usual boosted-tree ranking libraries are not part of Spark; their objectives are
-fitted here with MLlib's learners, so scores differ from theirs.
+The usual boosted-tree ranking libraries are not part of Spark; their objectives and tree
+shapes are fitted here by distributed histogram sums (:mod:`.trees`). Scores differ from
+theirs: bins, ties and regularisation are this module's own.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT  # noqa: F401
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..settings import CATEGORICAL, NOT_FEATURES
-
-
-#: Values of a categorical with a code of their own, the most frequent ones when a ranker is
-#: fitted; rarer and unknown ones share a code, missing ones have another.
-CODES = 62
+from . import trees as T
+from .encoding import MISSING, TargetStatistics
 
 
 def feature_columns(rows: DataFrame) -> list[str]:
@@ -30,29 +28,9 @@ def feature_columns(rows: DataFrame) -> list[str]:
     return numbers + [c for c in CATEGORICAL if c in rows.columns]
 
 
-def _vectors(rows: DataFrame, columns: list[str], tree: bool = True) -> PipelineModel:
-    """Numbers with their medians where they miss, flags of that, and codes of the
-    categoricals: as categories of ``tree`` learners, else one column a code."""
-    numbers, kinds = [c for c in columns if c not in CATEGORICAL], [c for c in columns if c in CATEGORICAL]
-    d = _prepared(rows, columns)
-    stages = [Imputer(inputCols=numbers, outputCols=[f"{c}_filled" for c in numbers], strategy="median")]
-    for c in kinds:
-        most = d.where(F.col(f"{c}_kind") != _MISSING).groupBy(f"{c}_kind").count().orderBy(F.desc("count"), f"{c}_kind").limit(CODES).collect()
-        stages.append(StringIndexerModel.from_labels([r[0] for r in most] + [_MISSING], f"{c}_kind", f"{c}_code", handleInvalid="keep"))
-        if not tree:
-            stages.append(OneHotEncoder(inputCol=f"{c}_code", outputCol=f"{c}_flags", dropLast=True))
-    inputs = [f"{c}_filled" for c in numbers] + [f"{c}_missing" for c in numbers] + [f"{c}_{'code' if tree else 'flags'}" for c in kinds]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(d)
-
-
-_MISSING = "MISSING"
-
-
-def _prepared(rows: DataFrame, columns: list[str]) -> DataFrame:
-    numbers = [c for c in columns if c not in CATEGORICAL]
-    d = rows.withColumns({f"{c}_kind": F.coalesce(F.col(c).cast("string"), F.lit(_MISSING)) for c in columns if c in CATEGORICAL})
-    d = d.withColumns({c: F.col(c).cast("double") for c in numbers})
-    return d.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in numbers})
+def _inputs(columns: list[str]) -> list[str]:
+    """The numbers that a ranker sees of ``columns``."""
+    return [f"{c}_number" if c in CATEGORICAL else c for c in columns]
 
 
 def lambdas(rows: DataFrame, noise: float = 0.0, seed: int = 42) -> DataFrame:
@@ -81,105 +59,139 @@ def lambdas(rows: DataFrame, noise: float = 0.0, seed: int = 42) -> DataFrame:
     return out.select("user_id", "item_id", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-class PairwiseLinearRanker:
-    """Logistic regression on differences of a user's positive and negative rows."""
+class _Ranker:
+    """What all rankers share: columns, and numbers in place of categoricals."""
 
-    def fit(self, rows: DataFrame) -> PairwiseLinearRanker:
+    #: The value that missing categoricals have; None if they stay missing.
+    missing: str | None = MISSING
+    seed = 42
+
+    def _encoded(self, rows: DataFrame) -> DataFrame:
+        """Captures the columns of ``rows``, and gives the numbers to fit with."""
         self.columns = feature_columns(rows)
-        self.vectors = _vectors(rows, self.columns, tree=False)
-        d = self.vectors.transform(_prepared(rows, self.columns)).select("user_id", "label", vector_to_array("features").alias("v"))
+        if not self.columns:
+            raise ValueError("there are no feature columns")
+        self.statistics = TargetStatistics([c for c in self.columns if c in CATEGORICAL], missing=self.missing, seed=self.seed)
+        return self.statistics.fit_transform(rows)
+
+    def _save(self, spark, path: str) -> None:
+        spark.createDataFrame([(i, c) for i, c in enumerate(self.columns)], "i int, c string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+        self.statistics.save(f"{path}/statistics")
+
+    def _load(self, spark, path: str) -> None:
+        self.columns = [r["c"] for r in spark.read.parquet(f"{path}/columns").orderBy("i").collect()]
+        self.statistics = TargetStatistics([c for c in self.columns if c in CATEGORICAL], missing=self.missing, seed=self.seed).load(spark, f"{path}/statistics")
+
+
+class PairwiseLinearRanker(_Ranker):
+    """Logistic regression on differences of a user's positive rows and the mean of the
+    user's negative ones. Missing numbers are medians, with a flag."""
+
+    def _numbers(self, d: DataFrame) -> DataFrame:
+        inputs = _inputs(self.columns)
+        d = d.withColumns({c: F.col(c).cast("double") for c in inputs})
+        return d.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in inputs})
+
+    def fit(self, rows: DataFrame) -> PairwiseLinearRanker:
+        from pyspark.ml.functions import array_to_vector
+
+        d, inputs = self._numbers(self._encoded(rows)), _inputs(self.columns)
+        fill = Imputer(inputCols=inputs, outputCols=[f"{c}_filled" for c in inputs], strategy="median")
+        self.vectors = Pipeline(stages=[fill, VectorAssembler(inputCols=[f"{c}_{x}" for x in ("filled", "missing") for c in inputs], outputCol="features")]).fit(d)
+        d = self.vectors.transform(d).select("user_id", "label", vector_to_array("features").alias("v"))
         mean = d.where("label = 0").select("user_id", F.posexplode("v").alias("k", "x")).groupBy("user_id", "k").agg(F.avg("x").alias("x"))
         mean = mean.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda z: z["x"]).alias("m"))
         pairs = d.where("label = 1").join(mean, "user_id")
         up, down = F.zip_with("v", "m", lambda a, b: a - b), F.zip_with("m", "v", lambda a, b: a - b)
-        from pyspark.ml.functions import array_to_vector
-
         both = pairs.select(array_to_vector(up).alias("features"), F.lit(1.0).alias("label"))
         both = both.unionByName(pairs.select(array_to_vector(down).alias("features"), F.lit(0.0).alias("label")))
         self.model = LogisticRegression(fitIntercept=False, regParam=0.01).fit(both)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        d = self.vectors.transform(_prepared(rows, self.columns))
+        d = self.vectors.transform(self._numbers(self.statistics.transform(rows)))
         weights = F.array(*[F.lit(float(x)) for x in self.model.coefficients])
         s = F.aggregate(F.zip_with(vector_to_array("features"), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         return d.select("user_id", "item_id", s.alias("score"))
 
     def save(self, path: str) -> None:
+        from pyspark.sql import SparkSession
+
         self.vectors.write().overwrite().save(f"{path}/vectors")
         self.model.write().overwrite().save(f"{path}/model")
-        _save_columns(self.vectors, self.columns, path)
+        self._save(SparkSession.active(), path)
 
     def load(self, spark, path: str) -> PairwiseLinearRanker:
         from pyspark.ml.classification import LogisticRegressionModel
 
-        self.columns = _load_columns(spark, path)
+        self._load(spark, path)
         self.vectors, self.model = PipelineModel.load(f"{path}/vectors"), LogisticRegressionModel.load(f"{path}/model")
         return self
 
 
-class LambdaTreeRanker:
-    """Boosted regression trees on the gradients of :func:`lambdas`: each tree fits
-    gradient over curvature, weighted by the curvature, so a leaf holds a Newton step.
-    ``noise`` > 0 perturbs scores before ranking, as stochastic-rank losses do. Scores are
-    cut off from their lineage every few rounds."""
+class TreeRanker(_Ranker):
+    """Boosted trees on gradients within users: each leaf holds a Newton step.
 
-    def __init__(self, rounds: int = 10, rate: float = 0.05, depth: int = 6, noise: float = 0.0, seed: int = 42, every: int = 5) -> None:
-        self.rounds, self.rate, self.depth, self.noise, self.seed, self.every = rounds, rate, depth, noise, seed, every
+    ``saved``: a folder for the state of a fit after every ``every`` rounds; a later fit of
+    the same rows and settings goes on from there.
+    """
 
-    def fit(self, rows: DataFrame) -> LambdaTreeRanker:
-        self.columns = feature_columns(rows)
-        self.vectors = _vectors(rows, self.columns)
-        cut = (lambda x: x.checkpoint()) if rows.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-        d = cut(self.vectors.transform(_prepared(rows, self.columns)).select("user_id", "item_id", "label", "features").withColumn("s", F.lit(0.0)))
-        self.trees = []
-        for r in range(self.rounds):
-            g = d.join(lambdas(d, self.noise, self.seed + r), ["user_id", "item_id"])
-            g = g.withColumn("step", F.when(F.col("weight") > 0, F.col("lam") / F.col("weight")).otherwise(0.0)).withColumn("weight", F.col("weight") + 1e-6)
-            tree = DecisionTreeRegressor(maxDepth=self.depth, maxBins=CODES + 2, labelCol="step", weightCol="weight", featuresCol="features", predictionCol="p", seed=self.seed + r).fit(g)
-            self.trees.append(tree)
-            d = tree.transform(d).withColumn("s", F.col("s") + self.rate * F.col("p")).drop("p")
-            if r % self.every == self.every - 1:
-                d = cut(d)
+    gradients = staticmethod(T.lambda_gradients)
+
+    def __init__(self, rounds: int = 500, rate: float = 0.05, grow: T.Growth | None = None, seed: int = 42, saved: str | None = None, every: int = 10) -> None:
+        self.rounds, self.rate, self.seed, self.saved, self.every = rounds, rate, seed, saved, every
+        self.grow = grow or self.default_growth()
+
+    def fit(self, rows: DataFrame) -> TreeRanker:
+        d = self._encoded(rows)
+        self.trees, self.bounds = T.boost(d, _inputs(self.columns), self.gradients, self.rounds, self.rate, self.grow, self.seed, self.saved, self.every)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        d = self.vectors.transform(_prepared(rows, self.columns)).select("user_id", "item_id", "features").withColumn("score", F.lit(0.0))
-        for tree in self.trees:
-            d = tree.transform(d).withColumn("score", F.col("score") + self.rate * F.col("p")).drop("p")
-        return d.select("user_id", "item_id", "score")
+        return T.predicted(self.statistics.transform(rows), _inputs(self.columns), self.trees, self.bounds, self.rate)
 
     def save(self, path: str) -> None:
-        self.vectors.write().overwrite().save(f"{path}/vectors")
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i:04d}")
-        _save_columns(self.vectors, self.columns, path)
-
-    def load(self, spark, path: str) -> LambdaTreeRanker:
-        from pyspark.ml.regression import DecisionTreeRegressionModel
+        from pyspark.sql import SparkSession
 
-        from ..sources.readers import exists
+        spark = SparkSession.active()
+        T.save_trees(spark, self.trees, f"{path}/trees")
+        spark.createDataFrame([(json.dumps({"bounds": self.bounds, "rate": self.rate}),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        self._save(spark, path)
 
-        self.columns, self.vectors, self.trees = _load_columns(spark, path), PipelineModel.load(f"{path}/vectors"), []
-        while exists(spark, tree := f"{path}/tree-{len(self.trees):04d}"):
-            self.trees.append(DecisionTreeRegressionModel.load(tree))
+    def load(self, spark, path: str) -> TreeRanker:
+        self._load(spark, path)
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        self.trees, self.bounds, self.rate = T.load_trees(spark, f"{path}/trees"), about["bounds"], about["rate"]
         return self
 
 
-def _save_columns(vectors: PipelineModel, columns: list[str], path: str) -> None:
-    from pyspark.sql import SparkSession
+class LambdaTreeRanker(TreeRanker):
+    """Leaf-wise trees of 63 leaves with 20 rows or more on :func:`.trees.lambda_gradients`.
+    Missing and unknown categoricals are missing numbers."""
+
+    missing = None
+
+    @staticmethod
+    def default_growth() -> T.Growth:
+        return T.Growth(leaves=63, min_rows=20)
+
 
-    SparkSession.active().createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, c string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+class YetiTreeRanker(TreeRanker):
+    """Symmetric trees of depth 6 on :func:`.trees.permutation_gradients`. Missing
+    categoricals are a value of their own."""
 
+    gradients = staticmethod(T.permutation_gradients)
 
-def _load_columns(spark, path: str) -> list[str]:
-    return [r["c"] for r in spark.read.parquet(f"{path}/columns").orderBy("i").collect()]
+    @staticmethod
+    def default_growth() -> T.Growth:
+        return T.Growth(depth=6, min_rows=1, min_curvature=0.0, l2=3.0, symmetric=True)
 
 
-RANKERS = {"lambda": LambdaTreeRanker, "yeti": lambda: LambdaTreeRanker(noise=0.5), "linear": PairwiseLinearRanker}
+RANKERS = {"lambda": LambdaTreeRanker, "yeti": YetiTreeRanker, "linear": PairwiseLinearRanker}
 
 
-def ranker(name: str):
+def ranker(name: str, **settings):
+    """The ranker of that name; ``settings`` are for tree rankers."""
     if name not in RANKERS:
         raise ValueError(f"no ranker is named {name}; there are {', '.join(sorted(RANKERS))}")
-    return RANKERS[name]()
+    return RANKERS[name](**settings)

@@ -21,11 +21,11 @@ def folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = "file://" + base
     path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
