@@ -24,7 +24,7 @@ def folder(tmp_path_factory):
 
 
 def test_modes(spark, folder, tmp_path, capsys):
-    common = ["--data", str(folder), "--out", str(tmp_path), "--iterations", "2", "--cooc-tau", "10"]
+    common = ["--data", str(folder), "--out", str(tmp_path), "--iterations", "2", "--rounds", "3", "--cooc-tau", "10"]
     run = lambda mode, *more: modes.main(["--mode", mode, *common, *more])
     for mode in ("train_bpr", "train_tfidf"):
         run(mode)
@@ -51,3 +51,39 @@ def test_modes(spark, folder, tmp_path, capsys):
     run("train_reranker", "--reranker", "linear", "--content", "bm25")
     run("evaluate", "--reranker", "linear", "--content", "bm25")
     assert "Recall@10" in capsys.readouterr().out
+
+
+def test_force_and_full(spark, folder, tmp_path):
+    common = ["--data", str(folder), "--out", str(tmp_path), "--iterations", "2"]
+    run = lambda *more: modes.main(["--mode", "train_bpr", *common, *more])
+    made = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("bpr-*/_SUCCESS")}
+    run()
+    split = made()
+    run()
+    assert made() == split and len(split) == 1  # what is there stays
+    run("--full")
+    both = made()
+    assert len(both) == 2 and both.items() >= split.items()  # all data have a model of their own
+    assert (tmp_path / "bpr_loss_full").exists() and (tmp_path / "bpr_loss_split").exists()
+    run("--full", "--force")
+    again = made()
+    (full,) = both.keys() - split.keys()
+    assert again.keys() == both.keys() and again[full] > both[full] and again.items() >= split.items()
+    whole = spark.read.parquet(full.removesuffix("/_SUCCESS"))
+    assert whole.where("kind = 'user'").count() == 12
+
+
+def test_kept_ranker_stays_unless_forced(spark, folder, tmp_path):
+    common = ["--data", str(folder), "--out", str(tmp_path), "--iterations", "1", "--cooc-tau", "10", "--reranker", "yeti"]
+    run = lambda *more: modes.main(["--mode", "train_reranker", *common, *more])
+    made = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("ranker-yeti-*/columns/_SUCCESS")}
+    run("--rounds", "2")
+    first = made()
+    run("--rounds", "2")
+    assert made() == first and len(first) == 1
+    states = {p.name for p in tmp_path.glob("ranker-state-yeti-*/trees-*")}
+    run("--rounds", "4")  # goes on from the two trees that are there
+    assert len(made()) == 2 and states == {"trees-2"} and len(list(tmp_path.glob("ranker-state-yeti-*/trees-4"))) == 1
+    run("--rounds", "2", "--force")
+    again = made()
+    assert len(again) == 2 and all(again[k] > t for k, t in first.items())

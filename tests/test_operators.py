@@ -203,3 +203,48 @@ def test_negatives_of_a_user_with_nearly_every_item():
     drawn = [_draw(1, 0, 5, i, 1000, own) for i in range(300)]
     assert set(drawn) == {17, 600} and 100 < drawn.count(17) < 200
     assert _draw(1, 0, 5, 3, 1000, set(range(1000))) is None
+
+
+def test_meetings_that_lengths_rule_out_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "USERS", 5)
+    monkeypatch.setattr(retrieval, "ITEMS", 10)
+    rng = np.random.default_rng(2)
+    of = lambda n, scale: spark.createDataFrame([(i, (scale(i) * rng.normal(size=4)).tolist()) for i in range(n)] + [(n, [0.0] * 4)], "id long, f array<double>")
+    users, items = of(12, lambda i: 1.0), of(100, lambda i: 3.0 / (1 + i))
+    seen = spark.createDataFrame([(u, i) for u in range(13) for i in range(u % 4)] + [(3, i) for i in range(95)], "user_id long, item_id long")
+    for of_users in (seen, None):
+        near, far = retrieval.factor_meetings(users, items, 3, of_users)
+        first = retrieval._met(*near, 3)
+        met = far(first)[0].where("not pair").count()
+        assert 0 < met < 0.5 * 13 * 10  # copies of users that other blocks get
+        every = retrieval.factor_scores(users, items)
+        want = core.ranked(core.unseen(every, of_users) if of_users else every, 3)
+        got = retrieval.factor_top(users, items, 3, of_users)
+        assert rows(got, "user_id", "rank", "item_id") == rows(want, "user_id", "rank", "item_id")
+
+
+def test_items_of_one_length_are_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ITEMS", 4)
+    d = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(30)], "id long, f array<double>")
+    near, far = retrieval.factor_meetings(d.limit(2), d, 3)
+    assert max(r["count"] for r in near[1].groupBy("ub", "ib").count().collect()) < 12
+    got = retrieval.factor_top(d.where("id < 2"), d, 3)
+    assert rows(got, "user_id", "rank", "item_id") == [(0, 1, 0), (0, 2, 2), (0, 3, 4), (1, 1, 1), (1, 2, 3), (1, 3, 5)]
+
+
+def test_long_history_meets_in_parts(spark, monkeypatch):
+    data = [(1, i % 40, 0, i) for i in range(60)] + [(u, (u * 7 + k) % 40, 0, k) for u in range(2, 9) for k in range(5)]
+    inter = spark.createDataFrame(data, I)
+    pairs = lambda: {(r["item_i"], r["item_j"]): r["sim"] for r in retrieval.similarity(inter).collect()}
+    want = pairs()
+    monkeypatch.setattr(retrieval, "HISTORY", 6)
+    got = pairs()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_numbers_over_ranges(spark):
+    data = [(i * 37 % 501, i) for i in range(501)] + [(None, -1)]
+    got = core.numbered(spark.createDataFrame(data, "k long, v long").repartition(6), "k").collect()
+    assert sorted((r["ID"], r["k"], r["v"]) for r in got)[0] == (0, None, -1)
+    assert [r["k"] for r in sorted(got, key=lambda r: r["ID"])[1:]] == list(range(501)) and {r["ID"] for r in got} == set(range(502))
+    assert core.numbered(spark.createDataFrame([], "k long"), "k").count() == 0

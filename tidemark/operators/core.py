@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def seen(inter: DataFrame) -> DataFrame:
     return inter.select("user_id", "item_id").distinct()
@@ -111,11 +113,26 @@ def union_candidates(**sources: DataFrame) -> DataFrame:
     return all_.groupBy("user_id", "item_id").agg(*[rank(name) for name in sources])
 
 
+def numbered(rows: DataFrame, order: str, name: str = "ID") -> DataFrame:
+    """``rows`` with ``name``, gapless numbers from 0 by ``order``, nulls first. Rows are sorted
+    by ranges and written; a range's first number is the count of those before, so only
+    one number per range passes through the driver."""
+    d = scratch.stash(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["p"], r["n"]) for r in d.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    first, firsts = 0, []
+    for p, n in counts:
+        firsts += [F.lit(p), F.lit(first)]
+        first += n
+    start = F.create_map(*firsts)[part] if firsts else F.lit(0)
+    return d.withColumn(name, (start + place).cast("long")).drop("_m")
+
+
 def submission(recs: DataFrame) -> DataFrame:
     """ID, user_id, item_id: the ranked items joined by commas."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string"))
     rows = recs.groupBy("user_id").agg(F.array_join(items, ",").alias("item_id"))
-    return rows.withColumn("ID", F.row_number().over(W.orderBy("user_id")) - 1).select("ID", "user_id", "item_id")
+    return numbered(rows, "user_id").select(F.col("ID").cast("int").alias("ID"), "user_id", "item_id")
 
 
 def violations(recs: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
@@ -129,4 +146,4 @@ def write_submission(recs: DataFrame, users: DataFrame, path: str, k: int = 10)
     bad = violations(recs, users, k).orderBy("user_id").first()
     if bad:
         raise ValueError(f"user {bad['user_id']} has {bad['n']} items, {bad['n_distinct']} distinct; {k} are needed")
-    submission(recs).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    submission(recs).repartitionByRange("ID").sortWithinPartitions("ID").write.mode("overwrite").option("header", True).csv(path)

@@ -75,8 +75,8 @@ class _Ranker:
         return self.statistics.fit_transform(rows)
 
     def _save(self, spark, path: str) -> None:
+        self.statistics.save(f"{path}/statistics")  # columns last: they tell that a ranker is whole
         spark.createDataFrame([(i, c) for i, c in enumerate(self.columns)], "i int, c string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
-        self.statistics.save(f"{path}/statistics")
 
     def _load(self, spark, path: str) -> None:
         self.columns = [r["c"] for r in spark.read.parquet(f"{path}/columns").orderBy("i").collect()]

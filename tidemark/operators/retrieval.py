@@ -7,10 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, tfidf_terms
+from ..sources import scratch
 from .core import ranked
 
 #: Users and items of a block, whose factors one task holds at a time.
 USERS, ITEMS = 8192, 16384
+#: Items of a user that meet all of the user's items in one task.
+HISTORY = 1000
 
 # co-occurrence
 
@@ -20,8 +23,12 @@ def similarity(inter: DataFrame) -> DataFrame:
     ui = inter.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("double").alias("c"))
     norm = ui.groupBy("item_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     ui = ui.join(norm, "item_id").select("user_id", "item_id", (F.col("c") / F.col("norm")).alias("w"))
-    a, b = ui.selectExpr("user_id", "item_id AS item_i", "w AS wi"), ui.selectExpr("user_id", "item_id AS item_j", "w AS wj")
-    pairs = a.join(b, "user_id").where("item_i < item_j")  # one direction; the sums are mirrored
+    # a user with many items meets itself in several parts, each with all items on one side
+    parts = ui.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / HISTORY).cast("int").alias("parts"))
+    ui = ui.join(parts, "user_id")
+    a = ui.select("user_id", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), F.col("item_id").alias("item_i"), F.col("w").alias("wi"))
+    b = ui.select("user_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("item_id").alias("item_j"), F.col("w").alias("wj"))
+    pairs = a.join(b, ["user_id", "part"]).where("item_i < item_j")  # one direction; the sums are mirrored
     sims = pairs.groupBy("item_i", "item_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("sim"))
     ways = F.array(F.struct("item_i", "item_j"), F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j")))
     return sims.select(F.explode(ways).alias("p"), "sim").select("p.item_i", "p.item_j", "sim")
@@ -142,24 +149,76 @@ def factor_scores(users: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.select("user_id", "item_id", dot("fu", "fi").alias("score"))
 
 
+def _lengths(items: DataFrame, size: int) -> list[float]:
+    """Descending lengths that part the items into bands of some ``size``, the longest
+    first; one number a band."""
+    n = items.count()
+    parts = n // size + 1
+    if parts == 1:
+        return []
+    at = F.array(*[F.lit(1 - k / parts) for k in range(1, parts)])
+    found = items.agg(F.percentile_approx("length", at, F.lit(10_000))).first()[0]
+    return sorted(set(found), reverse=True)
+
+
 def factor_top(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | None = None) -> DataFrame:
     """user_id, item_id, rank, score: each user's k best items of (id, f) rows that are
     not in ``seen_``, ranked as by :func:`ranked`; rows without factors take no part.
 
-    Blocks of users meet blocks of items. A meeting multiplies the two matrices, some
-    users at a time, and passes on k items a user, so what is shuffled is copies of the
-    factors, one for each block of the other side, and k rows for each user and block.
+    Blocks of users meet blocks of items, which are parts of bands of lengths. A meeting
+    multiplies the two matrices, some users at a time, and passes on k items a user. All
+    users meet the longest items. The k-th score there tells which other blocks a user has
+    to meet: by Cauchy and Schwarz no score exceeds the product of both lengths. So copies
+    of a user's factors go to those blocks only, and the rows are those of meeting all.
     """
-    users = users.select("id", "f").where("f is not null")
-    items = items.selectExpr("id AS item", "f AS v").where("v is not null")  # both may come from one table
-    n_users, n_items = (d.count() // size + 1 for d, size in ((users, USERS), (items, ITEMS)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = users.select(block("id", n_users).alias("ub"), every(n_items).alias("ib"), "id", "f", F.lit(False).alias("pair"), F.lit(0).cast("long").alias("item"))
+    near, far = factor_meetings(users, items, k, seen_)
+    if far is None:
+        return ranked(_met(*near, k), k)
+    first = scratch.stash(_met(*near, k))
+    return ranked(first.unionByName(_met(*far(first), k)), k)
+
+
+def factor_meetings(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | None = None):
+    """The (users, items) rows of the meetings with the longest items, and a function that
+    gives those of the other meetings from the first scores; None if there are no others."""
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    users = users.select("id", "f").where("f is not null").withColumn("length", length("f"))
+    items = items.selectExpr("id AS item", "f AS v").where("v is not null").withColumn("length", length("v"))  # both may come from one table
+    bounds = _lengths(items, ITEMS)
+    n_users = users.count() // USERS + 1
+    band = sum(((F.col("length") < x).cast("int") for x in bounds), F.lit(0))
+    sizes = {r["band"]: r["n"] for r in items.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()} if bounds else {0: 1}
+    parts = [-(-sizes.get(i, 0) // ITEMS) or 1 for i in range(len(bounds) + 1)]  # equal lengths are in one band, however many
+    firsts, near = [sum(parts[:i]) for i in range(len(parts))], parts[0]
+    of = lambda values: F.array(*map(F.lit, values))[F.col("band")]
+    block = F.pmod(F.xxhash64("id"), F.lit(n_users)).cast("int")
+    items = items.withColumn("band", band).withColumn("ib", (of(firsts) + F.pmod(F.xxhash64("item"), of(parts))).cast("int"))
+    right = items.select("item", "v", "ib", F.explode(F.sequence(F.lit(0), F.lit(n_users - 1))).alias("ub"))
+    left = users.withColumn("ub", block)
+    mine = None
     if seen_ is not None:
-        mine = seen_.select(block("user_id", n_users).alias("ub"), block("item_id", n_items).alias("ib"), F.col("user_id").alias("id"), F.lit(None).cast("array<double>").alias("f"), F.lit(True).alias("pair"), F.col("item_id").alias("item"))
-        left = left.unionByName(mine)
-    right = items.select(every(n_users).alias("ub"), block("item", n_items).alias("ib"), "item", "v")
+        mine = seen_.select(F.col("user_id").alias("id"), F.col("item_id").alias("item")).withColumn("ub", block).join(items.select("item", "ib"), "item")
+
+    def meeting(left: DataFrame, some) -> tuple[DataFrame, DataFrame]:
+        a = left.select("ub", "ib", "id", "f", F.lit(False).alias("pair"), F.lit(0).cast("long").alias("item"))
+        if mine is not None:
+            a = a.unionByName(mine.where(some).select("ub", "ib", "id", F.lit(None).cast("array<double>").alias("f"), F.lit(True).alias("pair"), "item"))
+        return a, right.where(some).select("ub", "ib", "item", "v")
+
+    def far(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = ranked(first, k).groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        # no item of a band is as long as the bound above it
+        longest = [float(bounds[i - 1]) for i in range(1, len(parts)) for _ in range(parts[i])]
+        d = left.join(least, "id", "left").withColumn("ib", F.explode(F.sequence(F.lit(near), F.lit(sum(parts) - 1))))
+        reach = F.col("length") * F.array(*map(F.lit, longest))[F.col("ib") - near] * (1 + 1e-9) + 1e-8  # scores that agree to 9 digits are ties
+        return meeting(d.where((F.coalesce("n", F.lit(0)) < k) | (reach >= F.col("least"))), F.col("ib") >= near)
+
+    first = left.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(near - 1))))
+    return meeting(first, F.col("ib") < near), far if bounds else None
+
+
+def _met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """user_id, item_id, score: the k best items of each user in each block that it meets."""
 
     def best(a, b):
         import numpy as np
@@ -188,8 +247,7 @@ def factor_top(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame | No
                 out.append(pd.DataFrame({"user_id": user, "item_id": ids[free], "score": row[free]}))
         return pd.concat(out)
 
-    scored = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(best, "user_id long, item_id long, score double")
-    return ranked(scored, k)
+    return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(best, "user_id long, item_id long, score double")
 
 
 def factor_of_candidates(candidates: DataFrame, users: DataFrame, items: DataFrame, name: str = "bpr_score") -> DataFrame:

@@ -394,10 +394,17 @@ def boost(
     if saved and exists(spark, f"{saved}/bounds/_SUCCESS") and exists(spark, f"{saved}/rows/_SUCCESS"):
         bounds = [r["b"] for r in sorted(spark.read.parquet(f"{saved}/bounds").collect(), key=lambda r: r["i"])]
     else:
+        numbers = f"{scratch.folder(spark)}/numbers"  # quantiles and packing read them
+        rows.select("user_id", "item_id", "label", *columns).write.parquet(numbers)
+        rows = spark.read.parquet(numbers)
         bounds = boundaries(rows, columns)
         pack(rows, columns, bounds).write.mode("overwrite").parquet(f"{work}/rows")
+        scratch.remove(spark, numbers)
         spark.createDataFrame(list(enumerate(bounds)), "i int, b array<double>").write.mode("overwrite").parquet(f"{work}/bounds")
-    base = spark.read.parquet(f"{work}/rows")
+    read = lambda path: spark.read.schema(_PACKED).parquet(path)
+    base = read(f"{work}/rows")
+    if (base.agg(F.sum(F.length("score"))).first()[0] or 0) <= 8 * ROWS:  # what one task looks at together needs no shuffle
+        read = lambda path: spark.read.schema(_PACKED).parquet(path).coalesce(1)
     marks = [r for r in range(every, rounds + 1) if r % every == 0 or r == rounds] if saved else []
     done = next((r for r in reversed(marks) if exists(spark, f"{saved}/trees-{r}/_SUCCESS")), 0)
     trees = load_trees(spark, f"{saved}/trees-{done}") if done else []
@@ -406,7 +413,7 @@ def boost(
     for r in range(done, rounds):
         to = f"{states}/{uuid.uuid4().hex[:8]}"
         advanced(state, since, rate, gradients, seed, r, width, anew=state is base).write.parquet(to)
-        state = spark.read.parquet(to)
+        state = read(to)
         if before:
             scratch.remove(spark, before)
         before = to

@@ -126,6 +126,18 @@ class Recommender:
         """A ranker is kept by the data, the settings and the content model it was fitted with."""
         return self.path(f"ranker-{name}", *_ALL, content=self.content)
 
+    def train_ranker(self, name: str) -> None:
+        """Keeps a fitted ranker; one that is kept stays, unless forced. Tree rankers go on
+        from where an interrupted fit, or one of fewer rounds, stopped."""
+        path = self.ranker_path(name)
+        if not self.force and readers.exists(self.spark, f"{path}/columns/_SUCCESS"):
+            return
+        settings = {}
+        if name != "linear":
+            rest = [k for k in _ALL if k != "rounds"]
+            settings = {"rounds": self.s.rounds, "seed": self.s.seed, "saved": None if self.force else self.path(f"ranker-state-{name}", *rest, content=self.content)}
+        rankers.ranker(name, **settings).fit(self.training_rows()).save(path)
+
     def predictions(self, name: str) -> DataFrame:
         return rankers.ranker(name).load(self.spark, self.ranker_path(name)).predict(self.inference_rows())
 
@@ -175,20 +187,21 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--cooc-tau", type=float, default=Settings.tau)
     p.add_argument("--lgbm-weight", type=float, default=0.5)
     p.add_argument("--iterations", type=int, default=Settings.iterations)
+    p.add_argument("--rounds", type=int, default=Settings.rounds)
     a = p.parse_args(argv)
     spark = SparkSession.getActiveSession()
     if spark is None:
         from ..session import session
 
         spark = session()
-    r = Recommender(spark, a.data, a.out, Settings(tau=a.cooc_tau, iterations=a.iterations), a.content, a.force)
+    r = Recommender(spark, a.data, a.out, Settings(tau=a.cooc_tau, iterations=a.iterations, rounds=a.rounds), a.content, a.force)
     if a.mode == "train_bpr":
         r.factors(a.full)
     elif a.mode in ("train_tfidf", "train_bm25"):
         r.content = a.mode.removeprefix("train_")
         r.weights()
     elif a.mode == "train_reranker":
-        rankers.ranker(a.reranker).fit(r.training_rows()).save(r.ranker_path(a.reranker))
+        r.train_ranker(a.reranker)
     elif a.mode in ("evaluate", "ensemble_evaluate"):
         recs = r.top(a.reranker) if a.mode == "evaluate" else r.ensemble(a.lgbm_weight)
         print(f"Recall@{r.s.top_k}: {core.recall(recs, r.targets(), r.s.top_k).first()[0]:.4f}")

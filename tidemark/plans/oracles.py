@@ -214,6 +214,22 @@ ORACLES = {
     "reranker_features": f"""WITH {_TRAIN} SELECT p.user_id, p.item_id, rank AS popular_rank, round(item_popularity, 6) AS item_popularity, {_CROSS},
       round(user_avg_price, 8) AS user_avg_price, CAST((p.user_id, p.item_id) IN (SELECT (user_id, item_id) FROM val) AS INT) AS label
       FROM pool p JOIN itemf USING (item_id) JOIN userf USING (user_id) JOIN modes USING (user_id)""",
+    "category_statistics": f"""WITH {_TRAIN}, r AS (SELECT store, main_category, CAST((p.user_id, p.item_id) IN (SELECT (user_id, item_id) FROM val) AS INT) AS y FROM pool p LEFT JOIN itemf USING (item_id)),
+      v AS (SELECT 'store' AS "column", coalesce(store, 'MISSING') AS value, y FROM r UNION ALL SELECT 'main_category', coalesce(main_category, 'MISSING'), y FROM r)
+      SELECT "column", value, count(*) AS n, CAST(sum(y) AS DOUBLE) AS positives, round((sum(y) + 2 * 0.1) / (count(*) + 2), 6) AS number FROM v GROUP BY 1, 2""",
+    "lambda_gradients": f"""WITH {_TRAIN}, l AS (SELECT user_id, item_id, rank, CAST((user_id, item_id) IN (SELECT (user_id, item_id) FROM val) AS INT) AS y FROM pool),
+      r AS (SELECT *, 1 / log2(row_number() OVER (PARTITION BY user_id ORDER BY rank, item_id) + 1) AS gain, sum(y) OVER (PARTITION BY user_id) AS pos FROM l),
+      own AS (SELECT * FROM r WHERE pos > 0),
+      best AS (SELECT user_id, sum(1 / log2(i + 2)) AS best FROM (SELECT DISTINCT user_id, unnest(range(CAST(pos AS BIGINT))) AS i FROM own) GROUP BY 1),
+      pairs AS (SELECT a.user_id, a.item_id AS a, b.item_id AS b, 1 / (1 + exp((b.rank - a.rank) / 10.0)) AS rho, abs(a.gain - b.gain) / best AS change
+        FROM own a JOIN own b USING (user_id) JOIN best USING (user_id) WHERE a.y = 1 AND b.y = 0),
+      ends AS (SELECT user_id, a AS item_id, rho * change AS lam, rho * (1 - rho) * change AS weight FROM pairs UNION ALL SELECT user_id, b, -rho * change, rho * (1 - rho) * change FROM pairs)
+      SELECT o.user_id, o.item_id, round(coalesce(sum(lam), 0.0), 6) AS lam, round(coalesce(sum(weight), 0.0), 6) AS weight FROM own o LEFT JOIN ends USING (user_id, item_id) GROUP BY 1, 2""",
+    "ranking_ndcg": f"""WITH {_TRAIN}, l AS (SELECT user_id, item_id, item_popularity AS s, CAST((user_id, item_id) IN (SELECT (user_id, item_id) FROM val) AS INT) AS y FROM pool JOIN itemf USING (item_id)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY y DESC) AS ideal FROM l),
+      per AS (SELECT k, user_id, sum(CASE WHEN y = 1 AND place <= k THEN 1 / log2(place + 1) ELSE 0 END) / nullif(sum(CASE WHEN y = 1 AND ideal <= k THEN 1 / log2(ideal + 1) ELSE 0 END), 0) AS x
+        FROM r, (SELECT unnest([10, 1000000000]) AS k) GROUP BY 1, 2)
+      SELECT CASE k WHEN 10 THEN 'at 10' ELSE 'all' END AS name, round(coalesce(avg(x), 0), 6) AS ndcg FROM per GROUP BY 1, k""",
     "interactions_csv": f"WITH {_INTER} SELECT * FROM inter",
     "item_meta_csv": f"WITH {_META} SELECT item_id, title, main_category, store, average_rating, CAST(rating_number AS DOUBLE) AS rating_number, price FROM meta",
     "targets_csv": f"WITH {_SPLIT}, {_CLICKS} SELECT user_id, item_id FROM val WHERE user_id IN (SELECT user_id FROM clicks)",

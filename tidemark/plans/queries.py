@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bm25_tokens, item_text, tfidf_terms
 from ..operators import bpr as B
 from ..operators import core as C
+from ..operators import encoding as E
 from ..operators import features as X
 from ..operators import rankers as R
 from ..operators import retrieval as V
@@ -336,7 +337,8 @@ def bpr_item_gradient(t: Tables) -> DataFrame:
 
 @query
 def bpr_train_top10(t: Tables) -> DataFrame:
-    users, items, _ = B.train(t.clicks(), factors=16, epochs=3)
+    """All 64 factors; 10 of the 150 epochs."""
+    users, items, _ = B.train(t.clicks(), factors=64, epochs=10, parts=4)
     return V.factor_top(users, items, 10, C.seen(t.clicks()))
 
 
@@ -365,8 +367,8 @@ def candidate_generation(t: Tables) -> DataFrame:
     c, seen = t.clicks(), C.seen(t.clicks())
     fu = t.factors(0).select((F.col("id") / 2).cast("long").alias("id"), "f").join(c.selectExpr("user_id AS id"), "id", "left_semi")
     fi = t.factors(1).select(((F.col("id") - 1) / 2).cast("long").alias("id"), "f")
-    profile, weights = _tfidf(t)
-    cooc = _cooc(t)
+    profile, weights = map(scratch.stash, _tfidf(t))
+    cooc = scratch.stash(_cooc(t))
     best = lambda scores: C.ranked(C.unseen(scores, seen), 20)
     d = C.union_candidates(bpr=V.factor_top(fu, fi, 20, seen), tfidf=best(V.match(profile, weights)), cooc=best(cooc))
     d = V.factor_of_candidates(d, fu, fi)
@@ -477,12 +479,33 @@ def ranker_linear_top10(t: Tables) -> DataFrame:
 
 @query
 def ranker_lambda_top10(t: Tables) -> DataFrame:
-    return _reranked(t, R.ranker("lambda"))
+    return _reranked(t, R.ranker("lambda", rounds=10))
 
 
 @query
 def ranker_yeti_top10(t: Tables) -> DataFrame:
-    return _reranked(t, R.ranker("yeti"))
+    return _reranked(t, R.ranker("yeti", rounds=10))
+
+
+@query
+def category_statistics(t: Tables) -> DataFrame:
+    """Each store's and category's number for rankers, of all its rows."""
+    d = _training(t)
+    of = lambda c: E.statistics(d, c, 0.1, 2.0, E.MISSING).select(F.lit(c).alias("column"), "value", "n", "positives", r6("number"))
+    return of("store").unionByName(of("main_category"))
+
+
+@query
+def lambda_gradients(t: Tables) -> DataFrame:
+    """The first gradients of LambdaRank from the order by popularity."""
+    d = X.with_positives(_training(t)).select("user_id", "item_id", "label", (-F.col("popular_rank") / 10.0).alias("s"))
+    return R.lambdas(d).select("user_id", "item_id", r6("lam"), r6("weight"))
+
+
+@query
+def ranking_ndcg(t: Tables) -> DataFrame:
+    d = _training(t).withColumn("score", F.col("item_popularity"))
+    return C.ndcg(d, 10).select(F.lit("at 10").alias("name"), r6("ndcg")).unionByName(C.ndcg(d).select(F.lit("all").alias("name"), r6("ndcg")))
 
 
 # files: the tables as the CSV files that the modes read, and what comes back

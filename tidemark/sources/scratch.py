@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,3 +31,10 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session may be gone
         pass
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written and read again: for what several readers would compute anew."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
