@@ -106,6 +106,28 @@ _SCORES = f"""{_INTER}, {_META}, {_features()}, pairs AS (SELECT DISTINCT user_i
   ens AS (SELECT user_id, item_id, score, rank FROM (SELECT user_id, item_id, 0.5 * item_popularity + 0.5 * price AS score,
     row_number() OVER (PARTITION BY user_id ORDER BY round(0.5 * item_popularity + 0.5 * price, 9) DESC, item_id) AS rank FROM mm) WHERE rank <= 10)"""
 _TRAIN = f"""{_SPLIT}, {_META}, {_features('train')}, {_popular('train', 'val', 50, name='pool')}"""
+# the same on clicks without each user's last ones
+_CTRAIN = """every AS (SELECT user_id, (event_id * 7919) % (SELECT count(*) FROM documents) AS item_id, epoch_us(ts) AS ts
+  FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM every),
+  clicks AS (SELECT user_id, item_id, ts FROM placed WHERE NOT (n >= 5 AND r > n - greatest(1, n // 5))),
+  cval AS (SELECT user_id, item_id FROM placed WHERE n >= 5 AND r > n - greatest(1, n // 5)), cseen AS (SELECT DISTINCT user_id, item_id FROM clicks)"""
+_HELD = f"""{_COOC.replace(_CLICKS, _CTRAIN)}, {_TFIDF}, uf AS (SELECT vec_id // 2 AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id % 2 = 0 AND vec_id // 2 IN (SELECT user_id FROM cval)),
+  vf AS (SELECT vec_id // 2 AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE vec_id % 2 = 1),
+  dots AS (SELECT u.id AS user_id, v.id AS item_id, list_dot_product(u.f, v.f) AS score FROM uf u CROSS JOIN vf v),
+  {_top('dots', 20, name='a')}, {_top('matched', 20, name='b')}, {_top('cooc', 20, name='c')},
+  two AS (SELECT user_id, item_id FROM a UNION SELECT user_id, item_id FROM b), three AS (SELECT * FROM two UNION SELECT user_id, item_id FROM c),
+  cands AS (SELECT user_id, item_id, coalesce(a.rank - 1, -1) AS bpr_rank, coalesce(b.rank - 1, -1) AS tfidf_rank, coalesce(c.rank - 1, -1) AS cooc_rank, d.score AS bpr_score,
+    CASE WHEN item_id IN (SELECT doc_id FROM documents) AND user_id IN (SELECT user_id FROM prof) THEN coalesce(m.score, 0.0) END AS tfidf_score,
+    CASE WHEN item_id IN (SELECT item_id FROM clicks) AND user_id IN (SELECT user_id FROM clicks) THEN coalesce(o.score, 0.0) END AS cooc_score
+    FROM three LEFT JOIN a USING (user_id, item_id) LEFT JOIN b USING (user_id, item_id) LEFT JOIN c USING (user_id, item_id) LEFT JOIN dots d USING (user_id, item_id)
+    LEFT JOIN matched m USING (user_id, item_id) LEFT JOIN cooc o USING (user_id, item_id) WHERE user_id IN (SELECT user_id FROM cval))"""
+
+
+def _scaled(c: str) -> str:
+    low, high = f"min(coalesce({c}, 0)) OVER w", f"max(coalesce({c}, 0)) OVER w"
+    return f"CASE WHEN {high} = {low} THEN 0.0 ELSE (coalesce({c}, 0) - {low}) / ({high} - {low}) END"
+
 
 ORACLES = {
     "interactions_ordered": f"WITH {_INTER} SELECT * FROM inter",
@@ -193,6 +215,16 @@ ORACLES = {
       u AS (SELECT user_id, item_id, 'cooc' AS s, rank FROM a UNION ALL SELECT user_id, item_id, 'tfidf', rank FROM b UNION ALL SELECT user_id, item_id, 'popular', rank FROM c)
       SELECT user_id, item_id, coalesce(max(rank) FILTER (s = 'cooc') - 1, -1) AS cooc_rank, coalesce(max(rank) FILTER (s = 'tfidf') - 1, -1) AS tfidf_rank,
       coalesce(max(rank) FILTER (s = 'popular') - 1, -1) AS popular_rank FROM u GROUP BY 1, 2""",
+    "pool_recall": f"""WITH {_HELD} SELECT 'bpr' AS name, {_recall('a', 'cval')} AS recall UNION ALL SELECT 'tfidf', {_recall('b', 'cval')} UNION ALL SELECT 'cooc', {_recall('c', 'cval')}
+      UNION ALL SELECT 'bpr_content', {_recall('two', 'cval')} UNION ALL SELECT 'all', {_recall('three', 'cval')}""",
+    "baseline_recall": f"""WITH {_HELD}, {_popular('clicks', 'cval', 10, name='pop')}, e AS (SELECT user_id, item_id, 0.5 * {_scaled('bpr_score')} + 0.5 * {_scaled('cooc_score')} AS score FROM cands WINDOW w AS (PARTITION BY user_id)),
+      pipe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM e) WHERE rank <= 10),
+      a10 AS (SELECT * FROM a WHERE rank <= 10), b10 AS (SELECT * FROM b WHERE rank <= 10)
+      SELECT 'popularity' AS name, {_recall('pop', 'cval')} AS recall UNION ALL SELECT 'content', {_recall('b10', 'cval')} UNION ALL SELECT 'bpr', {_recall('a10', 'cval')} UNION ALL SELECT 'pipeline', {_recall('pipe', 'cval')}""",
+    "reranker_frame": f"""WITH {_HELD}, {_META}, {_features('clicks')} SELECT p.user_id, p.item_id, bpr_rank, tfidf_rank, cooc_rank, round(bpr_score, 6) AS bpr_score, round(tfidf_score, 6) AS tfidf_score,
+      round(cooc_score, 6) AS cooc_score, round(item_popularity, 6) AS item_popularity, store, user_dominant_category, {_CROSS}, round(user_interaction_count, 6) AS user_interaction_count,
+      round(user_avg_price, 8) AS user_avg_price, CAST((p.user_id, p.item_id) IN (SELECT (user_id, item_id) FROM cval) AS INT) AS label
+      FROM cands p LEFT JOIN itemf USING (item_id) LEFT JOIN userf USING (user_id) LEFT JOIN modes USING (user_id)""",
     "candidate_recall_report": f"""WITH {_SPLIT}, {_popular('train', 'val', 10, name='a')}, {_popular('train', 'val', 50, name='b')},
       c AS (SELECT user_id, item_id FROM b UNION SELECT user_id, item_id FROM train)
       SELECT 'popular_10' AS pool, {_recall('a', 'val')} AS recall UNION ALL SELECT 'popular_50', {_recall('b', 'val')}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -377,6 +379,63 @@ def candidate_generation(t: Tables) -> DataFrame:
     return d.select("user_id", "item_id", "bpr_rank", "tfidf_rank", "cooc_rank", r6("bpr_score"), r6("tfidf_score"), r6("cooc_score"))
 
 
+class _Held:
+    """All retrievers on clicks without each user's last ones; user u has the factors 2u,
+    item i 2i + 1."""
+
+    def __init__(self, t: Tables, k: int = 20) -> None:
+        self.train, self.val = C.split(t.clicks().withColumn("seq", F.col("item_id")))
+        self.users = self.val.select("user_id").distinct()
+        mine = self.train.join(self.users, "user_id", "left_semi")
+        self.seen, self.texts = scratch.stash(C.seen(mine)), t.texts()
+        self.fu = t.factors(0).select((F.col("id") / 2).cast("long").alias("id"), "f").join(self.users.selectExpr("user_id AS id"), "id", "left_semi")
+        self.fi = t.factors(1).select(((F.col("id") - 1) / 2).cast("long").alias("id"), "f")
+        self.weights = scratch.stash(V.tfidf_weights(*_vocabulary(t)))
+        self.profile = scratch.stash(V.tfidf_profile(self.seen, self.weights))
+        self.cooc = scratch.stash(V.cooc_scores(mine, V.similarity(self.train), TAU * 1e6))
+        best = lambda scores: scratch.stash(C.ranked(C.unseen(scores, self.seen), k).select("user_id", "item_id", "rank"))
+        bpr = scratch.stash(V.factor_top(self.fu, self.fi, k, self.seen).select("user_id", "item_id", "rank"))
+        self.pools = {"bpr": bpr, "tfidf": best(V.match(self.profile, self.weights)), "cooc": best(self.cooc)}
+
+    def candidates(self) -> DataFrame:
+        """Every retriever's rank and score of all their candidates."""
+        d = V.factor_of_candidates(C.union_candidates(**self.pools), self.fu, self.fi)
+        d = V.score_candidates(d, self.profile, self.weights, self.texts, "tfidf_score")
+        return V.cooc_of_candidates(d, self.cooc, self.train)
+
+    def report(self, k: int | None, **recs: DataFrame) -> DataFrame:
+        out = [C.recall(d, self.val, k).select(F.lit(name).alias("name"), r6("recall")) for name, d in recs.items()]
+        return reduce(DataFrame.unionByName, out)
+
+
+@query
+def pool_recall(t: Tables) -> DataFrame:
+    """Recall of each retriever's pool, of two together, and of all."""
+    h = _Held(t)
+    two = h.pools["bpr"].unionByName(h.pools["tfidf"])
+    return h.report(None, **h.pools, bpr_content=two, all=two.unionByName(h.pools["cooc"]))
+
+
+@query
+def baseline_recall(t: Tables) -> DataFrame:
+    """Recall at 10 of popularity, two retrievers, and all candidates by two scores together."""
+    h = _Held(t)
+    d = h.candidates().fillna(0.0, ["bpr_score", "cooc_score"])
+    return h.report(10, popularity=C.popular_for_users(h.train, h.users, h.seen), content=h.pools["tfidf"], bpr=h.pools["bpr"], pipeline=C.ensemble(d, "bpr_score", "cooc_score", 0.5))
+
+
+@query
+def reranker_frame(t: Tables) -> DataFrame:
+    """What rerankers are fitted with: all retrievers' candidates, scores, features, labels."""
+    h = _Held(t)
+    items = X.item_features(t.meta(), h.train)
+    d = X.labelled(X.with_features(h.candidates(), items, X.user_features(h.train, items)), h.val)
+    return d.select(
+        "user_id", "item_id", "bpr_rank", "tfidf_rank", "cooc_rank", r6("bpr_score"), r6("tfidf_score"), r6("cooc_score"), r6("item_popularity"), "store",
+        "user_dominant_category", "category_match", "store_match", r6("user_interaction_count"), r8("user_avg_price"), "label",
+    )
+
+
 @query
 def candidate_recall_report(t: Tables) -> DataFrame:
     train, val = C.split(t.inter())
