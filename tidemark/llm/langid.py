@@ -196,7 +196,8 @@ def identify(features: DataFrame, languages: list[str], key: tuple[str, ...] = (
 
     Rows without letters have no text evidence: their language is the most likely one
     by the other evidence, and they are not accepted. Null hosts, declarations and
-    suffixes are values like others. No rows, no result; repeated rows count each.
+    suffixes are values like others. No rows, no result; repeated rows count each, and
+    rows that share a key, or have none, are judged each on their own.
     """
     n = len(languages)
     f = features

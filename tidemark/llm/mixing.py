@@ -109,8 +109,10 @@ def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     target, copies.
 
     Rows without words get the whole part of their copies, plus one by their own
-    chance: they carry no words to move. Equal rows are documents of their own. An
-    empty table gives no rows. The draw depends on keys and sizes only.
+    chance: they carry no words to move. Equal rows are documents of their own, and a
+    null key is a key like others. A null source comes last. Other columns, whatever
+    their names, are left out. An empty table gives no rows. The draw depends on keys and
+    sizes only.
     """
     d = docs.select("key", "source", F.col("size").cast("long").alias("size"))
     t = source_targets(d, cap)

@@ -170,8 +170,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     """vec_id, n_links, component_id, kept for every row of ``rows`` (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite components link with
-    nothing, as do rows without a vec_id (their component_id is null) and vectors of
-    different lengths with each other. Rows that repeat a vector, their vec_id too or
+    nothing, as do rows without a vec_id (their component_id is null, and they are kept)
+    and vectors of different lengths with each other. Rows that repeat a vector, their vec_id too or
     not, link with each other. An empty table gives no rows.
     """
     spark = rows.sparkSession

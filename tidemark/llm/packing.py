@@ -161,8 +161,9 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID) -> DataFrame:
     """One row per piece of every row of ``docs`` (doc_id, text); :data:`PIECES`.
 
-    Null and empty texts are the closing id alone; rows with the same doc_id are
-    packed each on their own; no rows, no pieces; other columns are ignored.
+    Null and empty texts are the closing id alone; rows with the same doc_id, or none,
+    are packed each on their own; long texts are cut into as many pieces as they need; no
+    rows, no pieces; other columns, whatever their names, are ignored.
     Sequence and step ids begin with the task's number, so reruns over the same
     partitions agree.
     """

@@ -83,9 +83,10 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """Shard and slot of every row of ``docs`` (doc_id, text): counts at most one apart.
 
     size is the text's UTF-8 bytes (null: none) plus 1, text_crc32 the unsigned CRC of
-    those bytes. Null texts have no links; empty texts are equal texts; repeated rows
-    are documents of their own; an empty table gives no rows. Slots count from 0 in
-    each shard.
+    those bytes. Null texts have no links; empty texts are equal texts; repeated rows and
+    rows without a doc_id are documents of their own; texts of any length are read
+    whole; other columns, whatever their names, are left out; an empty table gives no
+    rows. Slots count from 0 in each shard.
     """
     bytes_ = utf8(F.col("text"))
     base = docs.select(
