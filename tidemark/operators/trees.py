@@ -405,7 +405,7 @@ def boost(
     base = read(f"{work}/rows")
     if (base.agg(F.sum(F.length("score"))).first()[0] or 0) <= 8 * ROWS:  # what one task looks at together needs no shuffle
         read = lambda path: spark.read.schema(_PACKED).parquet(path).coalesce(1)
-    marks = [r for r in range(every, rounds + 1) if r % every == 0 or r == rounds] if saved else []
+    marks = [r for r in range(1, rounds + 1) if r % every == 0 or r == rounds] if saved else []
     done = next((r for r in reversed(marks) if exists(spark, f"{saved}/trees-{r}/_SUCCESS")), 0)
     trees = load_trees(spark, f"{saved}/trees-{done}") if done else []
     states = scratch.folder(spark)

@@ -32,6 +32,7 @@ class Recommender:
         if content not in ("tfidf", "bm25"):
             raise ValueError(f"no content model is named {content}")
         self.spark, self.folder, self.out, self.s, self.content, self.force = spark, folder, out, settings, content, force
+        self.made: set[str] = set()
         self.train = readers.interactions(spark, f"{folder}/train.csv")
         self.meta = readers.item_meta(spark, f"{folder}/item_meta.csv")
         self.texts = item_text(self.meta)
@@ -57,9 +58,10 @@ class Recommender:
 
     def cache(self, name: str, make, *keys: str, **key) -> DataFrame:
         path = self.path(name, *keys, **key)
-        found = None if self.force else readers.cached(self.spark, path)
+        found = None if self.force and path not in self.made else readers.cached(self.spark, path)
         if found is None:
             make().write.mode("overwrite").parquet(path)
+            self.made.add(path)  # forced once: what reads it already must not lose it
             found = self.spark.read.parquet(path)
         return found
 
