@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import bpr, core, features, rankers, retrieval
 
@@ -248,3 +249,43 @@ def test_numbers_over_ranges(spark):
     assert sorted((r["ID"], r["k"], r["v"]) for r in got)[0] == (0, None, -1)
     assert [r["k"] for r in sorted(got, key=lambda r: r["ID"])[1:]] == list(range(501)) and {r["ID"] for r in got} == set(range(502))
     assert core.numbered(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+@pytest.mark.parametrize("signs", [False, True])
+def test_text_top_in_blocks_equals_all_postings(spark, monkeypatch, signs):
+    rng = np.random.default_rng(5)
+    value = lambda: float(rng.choice([-0.5, 0.0, 0.5, 1.0]) if signs else rng.choice([0.25, 0.5, 1.0]))
+    vectors = lambda n, m: [(i, f"t{t}", value()) for i in range(n) for t in rng.choice(40, m, replace=False)]
+    profile = spark.createDataFrame(vectors(23, 4), "user_id long, term string, q double")
+    weights = spark.createDataFrame(vectors(61, 3) + [(100 + i, "t1", 0.5) for i in range(30)], "item_id long, term string, w double")
+    seen = spark.createDataFrame([(u, i) for u in range(30) for i in range(u, 80, 9)] + [(None, 3), (4, None)], "user_id long, item_id long")
+    every = profile.join(weights, "term").groupBy("user_id", "item_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+    monkeypatch.setattr(retrieval, "TEXT_USERS", 7)
+    monkeypatch.setattr(retrieval, "TEXT_ITEMS", 20)
+    for of in (seen, None):
+        for k in (5, 200):
+            want = core.ranked(core.unseen(every, of) if of else every, k)
+            got = retrieval.text_top(profile, weights, k, of)
+            assert rows(got, "user_id", "rank", "item_id", "score") == rows(want, "user_id", "rank", "item_id", "score")
+    assert retrieval.text_top(profile.limit(0), weights, 5, seen).count() == 0
+    assert retrieval.text_top(profile, weights.limit(0), 5, seen).count() == 0
+
+
+@pytest.mark.parametrize("counters", [3, 64, 1 << 22])
+def test_vocabulary_by_counters_equals_counting_all(spark, monkeypatch, counters):
+    rng = np.random.default_rng(9)
+    words = [f"w{int(x)}" for x in rng.zipf(1.5, 900) % 70]
+    texts = [(i, " ".join(words[i * 20 : i * 20 + 20]) + " everywhere") for i in range(45)] + [(45, None), (46, ""), (0, "w1 w1 everywhere")]
+    d = spark.createDataFrame(texts, "item_id long, text string")
+    df, total = {}, {}
+    for item, text in texts:
+        w = [x for x in (text or "").split() if len(x) > 1]
+        for term in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]:
+            total[term] = total.get(term, 0) + 1
+            df.setdefault(term, set()).add(item)
+    monkeypatch.setattr(retrieval, "COUNTERS", counters)
+    for most in (3, 25, 5000):
+        want = sorted((-total[t], t, len(df[t])) for t in total if 2 <= len(df[t]) <= 0.9 * 47)[:most]
+        got = retrieval.tfidf_vocabulary(d, 47, most, 2, 0.9)
+        assert sorted((-r["total"], r["term"], r["df"]) for r in got.collect()) == want
+    assert retrieval.tfidf_vocabulary(d.limit(0), 0).count() == 0

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, tfidf_terms
 from ..sources import scratch
-from .core import ranked
+from .core import numbered, ranked
 
 #: Users and items of a block, whose factors one task holds at a time.
 USERS, ITEMS = 8192, 16384
 #: Items of a user that meet all of the user's items in one task.
 HISTORY = 1000
+#: Counters of terms, eight bytes each.
+COUNTERS = 1 << 22
+#: Users, items and entries of their vectors in a block, which one task holds at a time.
+TEXT_USERS, TEXT_ITEMS, ENTRIES = 256, 2048, 1 << 22
 
 # co-occurrence
 
@@ -91,17 +95,41 @@ def bm25_profile(seen_: DataFrame, postings: DataFrame) -> DataFrame:
 # TF-IDF
 
 
-def tfidf_counts(texts: DataFrame) -> DataFrame:
-    """item_id, term, tf over single words and pairs."""
-    t = texts.select("item_id", F.explode(tfidf_terms(F.coalesce("text", F.lit("")))).alias("term"))
+def _terms(texts: DataFrame) -> DataFrame:
+    return texts.select("item_id", F.explode(tfidf_terms(F.coalesce("text", F.lit("")))).alias("term"))
+
+
+def tfidf_counts(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """item_id, term, tf over single words and pairs of the vocabulary, whose size is a
+    parameter of its own."""
+    t = _terms(texts).join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
     return t.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_vocabulary(counts: DataFrame, n_items: int, most: int = 20_000, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+def tfidf_vocabulary(texts: DataFrame, n_items: int, most: int = 20_000, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
     """term, df, total: the ``most`` terms with the highest counts among those in
-    ``min_df`` items or more, and in ``max_df`` of all items or fewer."""
-    v = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    return v.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_items)).orderBy(F.desc("total"), "term").limit(most)
+    ``min_df`` items or more, and in ``max_df`` of all items or fewer.
+
+    A first pass counts hashes of terms into COUNTERS numbers. No term, and no number of
+    items with it, exceeds its counter, so only the terms of the highest counters are
+    shuffled as strings and counted exactly. Other counters that reach the last count
+    found so are counted in a further pass, which is there for collisions.
+    """
+    t = _terms(texts).withColumn("counter", F.pmod(F.xxhash64("term"), F.lit(COUNTERS)).cast("int"))
+    counters = scratch.stash(t.groupBy("counter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_df))
+    highest = scratch.stash(counters.orderBy(F.desc("n"), "counter").limit(2 * most).select("counter"))
+
+    def exact(some: DataFrame) -> DataFrame:
+        v = t.join(some, "counter", "left_semi").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        v = v.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        return scratch.stash(v.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_items)))
+
+    found = exact(F.broadcast(highest))  # 2 * most numbers
+    n, least = found.orderBy(F.desc("total")).limit(most).agg(F.count(F.lit(1)), F.min("total")).first()
+    others = counters.where(F.col("n") >= (least if n == most else 0)).join(highest, "counter", "left_anti").select("counter")
+    if not others.isEmpty():
+        found = found.unionByName(exact(others))
+    return found.orderBy(F.desc("total"), "term").limit(most)
 
 
 def tfidf_weights(counts: DataFrame, vocabulary: DataFrame, n_items: int) -> DataFrame:
@@ -120,10 +148,89 @@ def tfidf_profile(seen_: DataFrame, weights: DataFrame) -> DataFrame:
     return d.select("user_id", "term", (F.col("q") / length).alias("q"))
 
 
-def match(profile: DataFrame, weights: DataFrame) -> DataFrame:
-    """user_id, item_id, score over the terms that both share."""
-    d = profile.join(weights, "term")
-    return d.groupBy("user_id", "item_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
+def text_top(profile: DataFrame, weights: DataFrame, k: int, seen_: DataFrame | None = None, digits: int = 9) -> DataFrame:
+    """user_id, item_id, rank, score: each user's k best items that are not in ``seen_``,
+    ranked as by :func:`ranked` by the sum of q * w over the terms that both share; items
+    that share none are not listed.
+
+    Users and items are dealt into blocks by hash. Each block of users meets each block of
+    items as a matrix product over the terms that both have, some terms at a time, and
+    passes on k items a user, so no row is made for a posting or for a pair.
+    """
+    terms = numbered(weights.select("term").distinct(), "term", "t")
+
+    def vectors(rows: DataFrame, key: str, x: str) -> DataFrame:
+        rows = rows.where(F.col(x).isNotNull()).join(terms, "term").groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct("t", F.col(x).alias("x"))).alias("v"))
+        return scratch.stash(rows.select("id", "v.t", "v.x"))
+
+    def blocks(rows: DataFrame, size: int) -> int:
+        n, entries = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+        return max(n // size, entries // ENTRIES) + 1
+
+    users, items = vectors(profile, "user_id", "q"), vectors(weights, "item_id", "w")
+    nu, ni = blocks(users, TEXT_USERS), blocks(items, TEXT_ITEMS)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = users.select(deal("id", nu).alias("ub"), every(ni).alias("ib"), "id", "t", "x", F.lit(0).cast("long").alias("item"))
+    if seen_ is not None:
+        mine = seen_.select(F.col("user_id").alias("id"), F.col("item_id").alias("item")).where("id is not null and item is not null")
+        left = left.unionByName(mine.select(deal("id", nu).alias("ub"), deal("item", ni).alias("ib"), "id", F.lit(None).cast("array<long>").alias("t"), F.lit(None).cast("array<double>").alias("x"), "item"))
+    first = _largest()
+    right = items.select(deal("id", ni).alias("ib"), every(nu).alias("ub"), "id", "t", "x")
+
+    def best(a, b):
+        import numpy as np
+        import pandas as pd
+
+        def entries(d):
+            """Rows, terms and values, by terms."""
+            t = np.concatenate(d["t"].to_numpy())
+            order = np.argsort(t, kind="stable")
+            return np.repeat(np.arange(len(d)), d["t"].map(len))[order], t[order], np.concatenate(d["x"].to_numpy())[order]
+
+        own, pairs = a[a["t"].notna()], a[a["t"].isna()]
+        none = pd.DataFrame({"user_id": [], "item_id": [], "score": []}).astype({"user_id": "int64", "item_id": "int64"})
+        if own.empty or b.empty:
+            return none
+        b = b.sort_values("id")
+        ids = b["id"].to_numpy()
+        (ur, ut, ux), (ir, it, ix) = entries(own), entries(b)
+        common = np.intersect1d(ut, it)
+        scores = np.zeros((len(own), len(b)))
+        plain = ux.min() > 0 and ix.min() > 0  # then a score above 0 tells that a term is shared
+        shared = None if plain else np.zeros(scores.shape, np.float32)
+        for at in range(0, len(common), 2048):  # a product over at most 2048 terms is held
+            some = common[at : at + 2048]
+
+            def dense(n, rows, terms, values, some=some):
+                lo, hi = np.searchsorted(terms, some[0]), np.searchsorted(terms, some[-1], "right")
+                place = np.searchsorted(some, terms[lo:hi])
+                hit = some[place] == terms[lo:hi]
+                m, there = np.zeros((n, len(some))), (rows[lo:hi][hit], place[hit])
+                m[there] = values[lo:hi][hit]
+                return m, there
+
+            p, at_p = dense(len(own), ur, ut, ux)
+            w, at_w = dense(len(b), ir, it, ix)
+            scores += p @ w.T
+            if not plain:
+                p, w = np.zeros(p.shape, np.float32), np.zeros(w.shape, np.float32)
+                p[at_p], w[at_w] = 1, 1
+                shared += p @ w.T
+        free = scores > 0 if plain else shared > 0
+        row_of = {u: i for i, u in enumerate(own["id"])}
+        row, col = pairs["id"].map(row_of), np.searchsorted(ids, pairs["item"])
+        known = row.notna().to_numpy() & (ids[np.minimum(col, len(ids) - 1)] == pairs["item"].to_numpy())
+        free[row[known].astype(int), col[known]] = False
+        out = [none]
+        for user, x, may in zip(own["id"].to_numpy(), scores, free, strict=True):
+            may = np.flatnonzero(may)
+            may = may[first(np.round(x[may], digits), k)]
+            out.append(pd.DataFrame({"user_id": user, "item_id": ids[may], "score": x[may]}))
+        return pd.concat(out)
+
+    met = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(best, "user_id long, item_id long, score double")
+    return ranked(met, k, digits=digits)
 
 
 def score_candidates(candidates: DataFrame, profile: DataFrame, weights: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -217,8 +324,26 @@ def factor_meetings(users: DataFrame, items: DataFrame, k: int, seen_: DataFrame
     return meeting(first, F.col("ib") < near), far if bounds else None
 
 
+def _largest():
+    """A function that tells which of some numbers are the k largest; of ties the first.
+    Made here, so that it goes to the executors by value."""
+
+    def first(x, k: int):
+        import numpy as np
+
+        if len(x) <= k:
+            return np.ones(len(x), bool)
+        least = np.partition(x, len(x) - k)[len(x) - k]
+        take = x > least
+        take[np.flatnonzero(x == least)[: k - take.sum()]] = True
+        return take
+
+    return first
+
+
 def _met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """user_id, item_id, score: the k best items of each user in each block that it meets."""
+    first = _largest()
 
     def best(a, b):
         import numpy as np
@@ -238,12 +363,7 @@ def _met(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
                 free = np.ones(len(ids), bool)
                 free[met.get(user, [])] = False
                 free = np.flatnonzero(free)
-                x = np.round(row[free], 9)
-                if len(free) > k:  # with ties, of which the smaller ids stay
-                    least = np.partition(x, len(x) - k)[len(x) - k]
-                    take = x > least
-                    take[np.flatnonzero(x == least)[: k - take.sum()]] = True
-                    free = free[take]
+                free = free[first(np.round(row[free], 9), k)]
                 out.append(pd.DataFrame({"user_id": user, "item_id": ids[free], "score": row[free]}))
         return pd.concat(out)
 

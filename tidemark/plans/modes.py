@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import item_text
 from ..operators import bpr, core, features, rankers, retrieval
 from ..settings import Settings
-from ..sources import readers
+from ..sources import readers, scratch
 
 MODES = ("train_bpr", "train_tfidf", "train_bm25", "train_reranker", "evaluate", "compare_baselines", "candidate_recall", "submit", "ensemble_evaluate", "ensemble_submit")
 
@@ -85,9 +85,13 @@ class Recommender:
         n = self.texts.count()
         if self.content == "bm25":
             return self.cache("bm25", lambda: retrieval.bm25_weights(retrieval.bm25_postings(self.texts), n))
-        counts = retrieval.tfidf_counts(self.texts)
         s = self.s
-        return self.cache("tfidf", lambda: retrieval.tfidf_weights(counts, retrieval.tfidf_vocabulary(counts, n, s.max_features, s.min_df, s.max_df), n), "max_features", "min_df", "max_df")
+
+        def weights() -> DataFrame:
+            v = scratch.stash(retrieval.tfidf_vocabulary(self.texts, n, s.max_features, s.min_df, s.max_df))
+            return retrieval.tfidf_weights(retrieval.tfidf_counts(self.texts, v), v, n)
+
+        return self.cache("tfidf", weights, "max_features", "min_df", "max_df")
 
     def profile(self, seen: DataFrame) -> DataFrame:
         if self.content == "bm25":
@@ -103,7 +107,7 @@ class Recommender:
         fu = fu.join(users.select(F.col("user_id").alias("id")), "id", "left_semi")
         cooc = retrieval.cooc_scores(mine, retrieval.similarity(data), self.s.tau)
         best = lambda scores: core.ranked(core.unseen(scores, seen), k)
-        return {"bpr": retrieval.factor_top(fu, fi, k, seen), "tfidf": best(retrieval.match(self.profile(seen), self.weights())), "cooc": best(cooc)}
+        return {"bpr": retrieval.factor_top(fu, fi, k, seen), "tfidf": retrieval.text_top(scratch.stash(self.profile(seen)), self.weights(), k, seen), "cooc": best(cooc)}
 
     def dataset(self, data: DataFrame, users: DataFrame, full: bool, targets: DataFrame | None) -> DataFrame:
         """Every candidate scored by all retrievers, with all features."""

@@ -249,7 +249,7 @@ def _bm25(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query
 def bm25_top10(t: Tables) -> DataFrame:
-    d = C.ranked(C.unseen(V.match(*_bm25(t)), C.seen(t.clicks())), 10, digits=6)
+    d = V.text_top(*map(scratch.stash, _bm25(t)), 10, C.seen(t.clicks()), digits=6)
     return d.select("user_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -264,18 +264,22 @@ def tfidf_token_counts(t: Tables) -> DataFrame:
     return t.texts().select("item_id", F.size(tfidf_terms(F.col("text"))).alias("n"))
 
 
-def _vocabulary(t: Tables) -> tuple[DataFrame, DataFrame, int]:
-    counts, n = V.tfidf_counts(t.texts()), t.texts().count()
-    return counts, V.tfidf_vocabulary(counts, n), n
+def _vocabulary(t: Tables) -> DataFrame:
+    return V.tfidf_vocabulary(t.texts(), t.texts().count())
+
+
+def _weights(t: Tables) -> DataFrame:
+    v = scratch.stash(_vocabulary(t))
+    return scratch.stash(V.tfidf_weights(V.tfidf_counts(t.texts(), v), v, t.texts().count()))
 
 
 @query
 def tfidf_vocab(t: Tables) -> DataFrame:
-    return _vocabulary(t)[1]
+    return _vocabulary(t)
 
 
 def _tfidf(t: Tables) -> tuple[DataFrame, DataFrame]:
-    weights = V.tfidf_weights(*_vocabulary(t))
+    weights = _weights(t)
     return V.tfidf_profile(C.seen(t.clicks()), weights), weights
 
 
@@ -291,7 +295,7 @@ def tfidf_profile(t: Tables) -> DataFrame:
 
 @query
 def tfidf_top10(t: Tables) -> DataFrame:
-    return C.ranked(C.unseen(V.match(*_tfidf(t)), C.seen(t.clicks())), 10).select("user_id", "item_id", "rank", r6("score"))
+    return V.text_top(*_tfidf(t), 10, C.seen(t.clicks())).select("user_id", "item_id", "rank", r6("score"))
 
 
 @query
@@ -353,7 +357,7 @@ def _sources(t: Tables, k: int) -> dict[str, DataFrame]:
     users = c.select("user_id").distinct()
     return {
         "cooc": C.ranked(C.unseen(_cooc(t), seen), k),
-        "tfidf": C.ranked(C.unseen(V.match(*_tfidf(t)), seen), k),
+        "tfidf": V.text_top(*_tfidf(t), k, seen),
         "popular": C.popular_for_users(c, users, seen, k),
     }
 
@@ -369,10 +373,11 @@ def candidate_generation(t: Tables) -> DataFrame:
     c, seen = t.clicks(), C.seen(t.clicks())
     fu = t.factors(0).select((F.col("id") / 2).cast("long").alias("id"), "f").join(c.selectExpr("user_id AS id"), "id", "left_semi")
     fi = t.factors(1).select(((F.col("id") - 1) / 2).cast("long").alias("id"), "f")
-    profile, weights = map(scratch.stash, _tfidf(t))
+    profile, weights = _tfidf(t)
+    profile = scratch.stash(profile)
     cooc = scratch.stash(_cooc(t))
     best = lambda scores: C.ranked(C.unseen(scores, seen), 20)
-    d = C.union_candidates(bpr=V.factor_top(fu, fi, 20, seen), tfidf=best(V.match(profile, weights)), cooc=best(cooc))
+    d = C.union_candidates(bpr=V.factor_top(fu, fi, 20, seen), tfidf=V.text_top(profile, weights, 20, seen), cooc=best(cooc))
     d = V.factor_of_candidates(d, fu, fi)
     d = V.score_candidates(d, profile, weights, t.texts(), "tfidf_score")
     d = V.cooc_of_candidates(d, cooc, c)
@@ -390,12 +395,12 @@ class _Held:
         self.seen, self.texts = scratch.stash(C.seen(mine)), t.texts()
         self.fu = t.factors(0).select((F.col("id") / 2).cast("long").alias("id"), "f").join(self.users.selectExpr("user_id AS id"), "id", "left_semi")
         self.fi = t.factors(1).select(((F.col("id") - 1) / 2).cast("long").alias("id"), "f")
-        self.weights = scratch.stash(V.tfidf_weights(*_vocabulary(t)))
+        self.weights = _weights(t)
         self.profile = scratch.stash(V.tfidf_profile(self.seen, self.weights))
         self.cooc = scratch.stash(V.cooc_scores(mine, V.similarity(self.train), TAU * 1e6))
         best = lambda scores: scratch.stash(C.ranked(C.unseen(scores, self.seen), k).select("user_id", "item_id", "rank"))
         bpr = scratch.stash(V.factor_top(self.fu, self.fi, k, self.seen).select("user_id", "item_id", "rank"))
-        self.pools = {"bpr": bpr, "tfidf": best(V.match(self.profile, self.weights)), "cooc": best(self.cooc)}
+        self.pools = {"bpr": bpr, "tfidf": scratch.stash(V.text_top(self.profile, self.weights, k, self.seen).select("user_id", "item_id", "rank")), "cooc": best(self.cooc)}
 
     def candidates(self) -> DataFrame:
         """Every retriever's rank and score of all their candidates."""
