@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from ..sources.readers import exists
+from ..sources.shipping import ship
 from .bpr import _hashed
 
 #: Bins of a number, 0 for missing ones.
@@ -282,6 +283,7 @@ def binned(x: np.ndarray, bounds: list[list[float]]) -> np.ndarray:
 
 def pack(rows: DataFrame, columns: list[str], bounds: list[list[float]]) -> DataFrame:
     """One row per user: its candidates by item, as bytes; scores 0."""
+    ship(rows.sparkSession)
     features = F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
     one = F.struct("item_id", F.col("label").cast("double").alias("label"), features.alias("x"))
     groups = rows.select("user_id", one.alias("r")).groupBy("user_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
@@ -387,6 +389,7 @@ def boost(
     round's state is in a scratch folder until the next one is whole.
     """
     spark = rows.sparkSession
+    ship(spark)
     work, width = saved or scratch.folder(spark), len(columns)
     if not width:
         raise ValueError("there are no feature columns")
@@ -429,6 +432,7 @@ def boost(
 
 def predicted(rows: DataFrame, columns: list[str], trees: list[Tree], bounds: list[list[float]], rate: float) -> DataFrame:
     """user_id, item_id, score of rows; no group and no shuffle is needed."""
+    ship(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.select("user_id", "item_id").schema}
 
     def run(batches):
