@@ -360,6 +360,22 @@ def test_neighbours_of_repeated_and_odd_rows(spark, monkeypatch):
     assert len(ties) > 10 and ties == list(range(40, 40 + len(ties)))  # equal products: the smaller ids
 
 
+def test_neighbours_of_uneven_lengths(spark):
+    """Few long vectors are near to all; most of their true neighbours were missed."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((12000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[rng.permutation(12000)[:40]] *= 30
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}))
+    got = neighbours.search(df, df.where("vec_id % 400 = 0")).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        hits += len(set(g.vec_id) & set(np.argsort(-s)[:20]))
+    assert got.query_id.nunique() == 30 and hits >= 0.9 * 600, hits
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
     x, rows = vectors()
