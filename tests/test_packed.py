@@ -44,3 +44,16 @@ def test_packed_equals_long_form(spark, monkeypatch, content):
     every = profile.where("user_id is not null").join(weights, "term").groupBy("user_id", "item_id").agg(F.sum(F.col("q") * F.col("w")).alias("score"))
     for k in (3, 100):
         assert r(packed.top(seen, of, k), "score") == r(core.ranked(core.unseen(every, seen), k), "score")
+
+
+def test_padded_top_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i,) for i in range(30)], "item_id long")
+    users = spark.createDataFrame([(u,) for u in range(9)], "user_id long")
+    scores = spark.createDataFrame([(u, int(i), float(x)) for u in range(7) for i in rng.choice(30, 1 + 3 * u, replace=False) for x in [rng.choice([0.0, 1e-12, 0.5, 1.0, 2.0])]], "user_id long, item_id long, score double")
+    seen = spark.createDataFrame([(u, int(i)) for u in range(8) for i in rng.choice(30, 1 + 3 * u, replace=False)] + [(8, i) for i in range(30)], "user_id long, item_id long")
+    for k in (3, 10, 40):
+        got, want = core.padded_top(scores, users, items, seen, k), core.ranked(core.pad(scores, users, items, seen), k)
+        assert as_rows(got) == as_rows(want)
+    meetings = core.padded_top(scores, users, items, seen, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in meetings and "Join Inner\n" not in meetings  # no user meets all items
