@@ -87,3 +87,9 @@ def test_kept_ranker_stays_unless_forced(spark, folder, tmp_path):
     run("--rounds", "2", "--force")
     again = made()
     assert len(again) == 2 and all(again[k] > t for k, t in first.items())
+
+
+def test_mark_of_many_rows(spark):
+    n, total = modes.mark(spark.range(18_000_000))
+    assert n == 18_000_000 and total > 2**63  # the sum of a long's hashes failed
+    assert modes.mark(spark.range(0)) == [0, None]

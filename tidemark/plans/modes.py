@@ -25,6 +25,12 @@ MODES = ("train_bpr", "train_tfidf", "train_bm25", "train_reranker", "evaluate",
 _ALL = tuple(f.name for f in dataclasses.fields(Settings))
 
 
+def mark(rows: DataFrame) -> list:
+    """Count and sum of hashes; the sum passes a long's limit at some 17 million rows."""
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)).cast("decimal(38,0)"))).first()
+    return [n, total if total is None else int(total)]
+
+
 class Recommender:
     """Lazy data of a folder (train.csv, test.csv, item_meta.csv, sample_submission.csv) and what is derived."""
 
@@ -47,9 +53,7 @@ class Recommender:
     @cached_property
     def data_mark(self) -> list:
         """What tells these data from others; one scan."""
-        rows = self.train.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("user_id", "item_id", "ts"), F.lit(1 << 40)))).first()
-        meta = self.meta.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(*self.meta.columns), F.lit(1 << 40)))).first()
-        return [*rows, *meta]
+        return [*mark(self.train.select("user_id", "item_id", "ts")), *mark(self.meta)]
 
     def path(self, name: str, *keys: str, **key) -> str:
         """Where ``name`` is kept: by the data, the settings ``keys``, and ``key``."""
