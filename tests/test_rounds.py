@@ -38,3 +38,34 @@ def test_encoding_reads_its_rows_in_proportion_to_the_columns(spark):
     rows = spark.range(60).select(F.col("id").alias("user_id"), F.col("id").alias("item_id"), (F.col("id") % 2).alias("label"), *[(F.col("id") % n).cast("string").alias(c) for n, c in ((3, "a"), (4, "b"), (5, "c"), (6, "d"))])
     d = TargetStatistics(["a", "b", "c", "d"]).fit_transform(rows)
     assert _leaves(d) <= 5  # was 16
+
+
+def test_cooc_blocks_equal_the_joins(spark, monkeypatch):
+    from tidemark.operators import retrieval, together
+
+    rows = [(u, (u * 7 + i * i) % 41 - 5, 1000 * i + u) for u in range(30) for i in range(1 + u % 9)]
+    rows += [(3, 7, 5000), (3, 7, 6000), (None, 7, 10), (None, 11, 20), (4, None, 5), (99, 1000, 1)]
+    inter = spark.createDataFrame(rows, "user_id long, item_id long, ts long")
+    mine = inter.where("user_id is null or user_id % 3 = 0")
+    scores = retrieval.cooc_scores(mine, retrieval.similarity(inter), 2000.0)
+    monkeypatch.setattr(together, "PART", 40)
+    monkeypatch.setattr(together, "WIDE", 9)
+    monkeypatch.setattr(together, "SUMS", 36)
+    six = lambda d: d.withColumn("score", F.round("score", 8))
+    for seen in (core.seen(mine), core.seen(mine).where("item_id % 2 = 0")):
+        want = core.ranked(core.unseen(scores, seen), 4).select("user_id", "item_id", "rank", "score")
+        got = together.cooc_top(mine, inter, 2000.0, 4, seen).select("user_id", "item_id", "rank", "score")
+        assert as_rows(six(got)) == as_rows(six(want))
+    asked = core.seen(mine).select("user_id", F.explode(F.array("item_id", F.col("item_id") + 3, F.lit(2))).alias("item_id")).distinct()
+    want = retrieval.cooc_of_candidates(asked, scores, inter).withColumn("cooc_score", F.round("cooc_score", 8))
+    got = retrieval.cooc_of_candidates(asked, together.cooc_asked(mine, inter, 2000.0, asked), inter).withColumn("cooc_score", F.round("cooc_score", 8))
+    assert as_rows(got) == as_rows(want)
+
+
+def test_cooc_top_makes_no_row_for_a_score(spark):
+    """Before, all scores were grouped by user and item."""
+    from tidemark.operators import together
+
+    inter = spark.range(300).select((F.col("id") % 10).alias("user_id"), (F.col("id") * 7 % 31).alias("item_id"), F.col("id").alias("ts"))
+    plan = together.cooc_top(inter, inter, 100.0, 3, core.seen(inter))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Cross" in plan
