@@ -69,3 +69,23 @@ def test_cooc_top_makes_no_row_for_a_score(spark):
     inter = spark.range(300).select((F.col("id") % 10).alias("user_id"), (F.col("id") * 7 % 31).alias("item_id"), F.col("id").alias("ts"))
     plan = together.cooc_top(inter, inter, 100.0, 3, core.seen(inter))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Cross" in plan
+
+
+def test_packed_items_go_to_a_block_once(spark, monkeypatch):
+    import re
+
+    from tidemark.operators import packed, retrieval
+
+    texts = spark.createDataFrame([(i, f"aa w{i % 4}x w{i % 3}y bb") for i in range(9)], "item_id long, text string")
+    seen = spark.createDataFrame([(u, i) for u in range(3) for i in range(9) if i % 3 == u], "user_id long, item_id long")  # a block that has seen all
+    vocabulary = retrieval.tfidf_vocabulary(texts, 9)
+    of = packed.tfidf(retrieval.tfidf_words(texts), vocabulary, 9)
+    weights = retrieval.tfidf_weights(retrieval.tfidf_counts(texts, vocabulary), vocabulary, 9)
+    want = retrieval.text_top(retrieval.tfidf_profile(seen, weights), weights, 4, seen)
+    for pairs in (1 << 16, 4):
+        monkeypatch.setattr(packed, "MET", pairs)
+        got = packed.top(seen, of, 4)
+        columns = ["user_id", "item_id", "rank", F.round("score", 8).alias("score")]
+        assert as_rows(got.select(columns)) == as_rows(want.select(columns))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[item_id#\d+L?,\s*v#\d+\]", plan)) == 1  # was 2: for profiles and again for all
