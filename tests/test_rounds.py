@@ -89,3 +89,22 @@ def test_packed_items_go_to_a_block_once(spark, monkeypatch):
         assert as_rows(got.select(columns)) == as_rows(want.select(columns))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[item_id#\d+L?,\s*v#\d+\]", plan)) == 1  # was 2: for profiles and again for all
+
+
+def test_factor_scores_of_packs(spark, monkeypatch):
+    """Every pair by matrix products; before, each was an expression over two arrays."""
+    from tidemark.operators import retrieval
+
+    odd = [(None, [1.0, 2.0]), (7, None), (8, [1.0, None]), (9, [3.0]), (10, []), (10, [0.5, float("nan")]), (11, [float("inf"), 0.0])]
+    users = spark.createDataFrame([(i, [float(i), i / 7]) for i in range(5)] + odd, "id long, f array<double>")
+    items = spark.createDataFrame([(i, [i / 3, -float(i)]) for i in range(9)] + odd, "id long, f array<double>")
+    monkeypatch.setattr(retrieval, "MEET_USERS", 4)
+    monkeypatch.setattr(retrieval, "MEET_ITEMS", 3)
+    pairs = users.selectExpr("id AS user_id", "f AS fu").crossJoin(items.selectExpr("id AS item_id", "f AS fi"))
+    want = pairs.select("user_id", "item_id", retrieval.dot("fu", "fi").alias("score"))
+    got = retrieval.factor_scores(users, items)
+    text = lambda d: sorted(map(str, d.select("user_id", "item_id", F.round("score", 9).alias("score")).collect()))
+    assert text(got) == text(want) and got.count() == 12 * 16
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+    assert retrieval.factor_scores(users.limit(0), items).count() == 0
