@@ -108,3 +108,14 @@ def test_factor_scores_of_packs(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "aggregate(" not in plan
     assert retrieval.factor_scores(users.limit(0), items).count() == 0
+
+
+def test_packed_items_are_not_shuffled_to_blocks(spark):
+    """Before, each block of users got a copy of every item by an exchange."""
+    from tidemark.operators import packed, retrieval
+
+    texts = spark.createDataFrame([(i, f"aa w{i % 4}x w{i % 3}y bb") for i in range(9)], "item_id long, text string")
+    seen = spark.createDataFrame([(u, u + i) for u in range(3) for i in range(3)], "user_id long, item_id long")
+    of = packed.tfidf(retrieval.tfidf_words(texts), retrieval.tfidf_vocabulary(texts, 9), 9)
+    plan = packed.top(seen, of, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shuffle_replicate_nl" in plan and "Union" not in plan
