@@ -1,5 +1,6 @@
 """Forms that make fewer rows, against the plain ones."""
 
+import numpy as np
 from conftest import as_rows
 from pyspark.sql import functions as F
 
@@ -119,3 +120,24 @@ def test_packed_items_are_not_shuffled_to_blocks(spark):
     of = packed.tfidf(retrieval.tfidf_words(texts), retrieval.tfidf_vocabulary(texts, 9), 9)
     plan = packed.top(seen, of, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "shuffle_replicate_nl" in plan and "Union" not in plan
+
+
+def test_similar_equals_the_join(spark, monkeypatch):
+    """Before, pairs of items were grouped as rows, some twenty bytes each."""
+    from tidemark.operators import retrieval, together
+
+    rows = [(u, (u * 7 + i * i) % 41 - 5) for u in range(30) for i in range(1 + u % 9)]
+    rows += [(3, 7), (3, 7), (None, 7), (None, 11), (4, None), (99, 1000)] + [(50, i) for i in range(25)] + [(51, 3)] * 3 + [(51, 4)] * 2
+    inter = spark.createDataFrame(rows, "user_id long, item_id long")
+    monkeypatch.setattr(together, "MERGED", 60)
+    monkeypatch.setattr(together, "HELD", 30)
+    monkeypatch.setattr(together, "HISTORY_ITEMS", 6)
+    eight = lambda d: as_rows(d.withColumn("sim", F.round("sim", 8)))
+    got = together.similar(inter)
+    assert eight(got) == eight(retrieval.similarity(inter))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert together.similar(inter.limit(0)).count() == 0
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.choice(1 << 34, 5000, replace=False))
+    data = together._planes(keys, np.ones(5000, np.int64))
+    assert (together._whole(data)[0] == keys).all() and len(data) < 4.5 * 5000
