@@ -141,3 +141,22 @@ def test_similar_equals_the_join(spark, monkeypatch):
     keys = np.sort(rng.choice(1 << 34, 5000, replace=False))
     data = together._planes(keys, np.ones(5000, np.int64))
     assert (together._whole(data)[0] == keys).all() and len(data) < 4.5 * 5000
+
+
+def test_cooc_all_equals_the_join(spark, monkeypatch):
+    """Before, a row was shuffled for each neighbour of each item of a user."""
+    from tidemark.operators import retrieval, together
+
+    rows = [(u, 3 * ((u * 7 + i * i) % 41) - 5, 1000 * i + u) for u in range(30) for i in range(1 + u % 9)]
+    rows += [(3, 7, 5000), (3, 7, 6000), (None, 7, 10), (None, 11, 20), (4, None, 5), (99, 1000, 1), (98, 4, 0), (98, 1, 10**9)]
+    inter = spark.createDataFrame(rows, "user_id long, item_id long, ts long")
+    want = retrieval.cooc_scores(inter, retrieval.similarity(inter), 2000.0)
+    monkeypatch.setattr(together, "PART", 40)
+    monkeypatch.setattr(together, "WIDE", 9)
+    monkeypatch.setattr(together, "SUMS", 36)
+    got = together.cooc_all(inter, inter, 2000.0)
+    eight = lambda d: as_rows(d.select("user_id", "item_id", F.round("score", 8).alias("score")))
+    assert eight(got) == eight(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Inner" not in plan
+    assert together.cooc_all(inter.limit(0), inter.limit(0), 1.0).count() == 0
