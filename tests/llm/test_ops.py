@@ -583,3 +583,55 @@ def test_same_rows_as_sql(spark, oracle, name):
     from tidemark.llm import queries
 
     assert as_rows(queries.QUERIES[name](spark, FOLDER)) == as_rows(oracle(queries.ORACLES[name], FOLDER))
+
+
+def test_line_sets_are_written_once_in_48_bits(spark, monkeypatch):
+    import random
+    from pathlib import Path
+
+    sizes, plain = {}, lines.stash
+
+    def stash(df, name, **options):
+        out = plain(df, name, **options)
+        sizes.setdefault(name, []).append(sum(p.stat().st_size for p in Path(out._tidemark_path.removeprefix("file://")).glob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(lines, "stash", stash)
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(204)) for _ in range(20)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
+    assert lines.line_matches(docs).count() == 400  # the copies
+    grams = 400 * 200
+    assert sum(sizes["grams"]) < 7 * grams  # eight bytes each, before; copies have none
+    assert sum(sum(v) for v in sizes.values()) < 8 * grams  # nor is another table of their size written
+
+
+def test_lines_of_equal_sets_and_frequent_passages(spark):
+    five = "one two three four five six seven eight"
+    rows = [(3, five.upper()), (1, f"  {five}\nx"), (2, five.replace(" ", "\t")), (4, f"{five}\n{five}"), (5, "\n\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(2, 0), (3, 0), (4, 0), (4, 1)}
+    assert {tuple(r) for r in lines.line_matches(docs).collect()} == want
+    assert {tuple(r) for r in lines.line_matches(docs, short=True).collect()} == want
+
+
+def test_shuffle_files_are_freed(spark, tmp_path):
+    import time
+
+    from tidemark.llm.common import free_shuffles, stash
+
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(blocks.getAllFiles().apply(i).getName().endswith(".data") for i in range(blocks.getAllFiles().length()))
+
+    def work():
+        return stash(spark.range(100_000).repartition(4, "id"), "freed").count()
+
+    free_shuffles(spark)
+    free_shuffles(spark)
+    time.sleep(1)
+    before = files()
+    work()
+    free_shuffles(spark)
+    time.sleep(1)
+    assert files() <= before

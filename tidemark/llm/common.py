@@ -7,6 +7,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -84,9 +85,11 @@ def drop_stash(*tables: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver's JVM collect its garbage, on which Spark deletes the shuffle files
-    of what is over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    of what is over. One collection only frees what holds them; the next one finds them."""
+    for pause in (0.2, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 _ROWWISE = {"Project", "Filter", "SubqueryAlias"}

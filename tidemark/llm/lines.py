@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines, later matches removed.
 
-A line's tokens are its distinct word 5-grams, lower-cased, by 64-bit hashes of theirs;
+A line's tokens are its distinct word 5-grams, lower-cased, by 48-bit hashes of theirs;
 where short lines count, the whole sequence of one to four words is a line's only token.
 Tokens are ordered from rare to frequent by counters of all lines that have them. The
 number of counters grows with the tokens, up to a bound; tokens share a counter, so
@@ -9,8 +9,9 @@ similarity of 0.75 or more must share a token among the rarest quarter of each (
 filter), at places that leave room for the overlap they need (positional filter), and
 be of similar size (length filter). Pairs that pass are verified on their whole sets.
 
-Lines with equal sets are collapsed first. A line is then compared with the first and
-the preceding line under each of its prefix tokens; most copies are settled so, and
+Lines of equal texts are collapsed before they get tokens. The sets of the others are
+written once and read again for verification. A line is compared with the first and
+the preceding line under each of its prefix tokens; most matches are found so, and
 only lines that are not meet all others under their tokens. Tokens that stand out as
 frequent are split by line for that. DataFrame functions only.
 """
@@ -31,6 +32,10 @@ COUNTERS = 1 << 16, 1 << 20
 LOAD = 1 << 14
 #: Least and most bits of the map that marks lines whose sets are needed, in every task.
 MARKS = 63 << 12, 63 << 19
+#: Bits of a token's hash; what is shuffled to find lines drops the last eight.
+BITS = 48
+#: Parquet that keeps hashes in BITS, not in 64.
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#grams.list.element": "false"}
 #: Lines under a token that one task compares with their neighbours.
 HOT = 1 << 16
 _ODD = "\t\x0b\x0c\r"
@@ -42,16 +47,20 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _grams(line: Column, short: bool) -> Column:
-    """The distinct hashes of the word 5-grams; of one to four words none or, if
-    ``short``, that of their sequence."""
+def _words(line: str) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _grams(words: Column) -> Column:
+    """The distinct hashes of the word 5-grams; of one to four words that of their sequence."""
 
     def fives(h: Column) -> Column:
-        five = F.transform(F.slice(h, F.lit(1), F.size(h) - WORDS + 1), lambda x, i: F.xxhash64(x, *[h[i + k] for k in range(1, WORDS)]))
-        few = F.slice(F.array(F.xxhash64(h)), 1, F.least(F.size(h), F.lit(int(short))))
-        return F.when(F.size(h) >= WORDS, five).otherwise(few)
+        five = F.transform(F.slice(h, F.lit(1), F.size(h) - WORDS + 1), lambda x, i: hashed(x, *[h[i + k] for k in range(1, WORDS)]))
+        return F.when(F.size(h) >= WORDS, five).otherwise(F.array(hashed(h)))
+
+    def hashed(*cols: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*cols), 64 - BITS)
 
-    words = F.array_remove(F.split(F.lower(line), " "), "")
     return F.array_distinct(_let(F.transform(words, lambda w: F.xxhash64(w)), fives))
 
 
@@ -61,7 +70,7 @@ def _lines(docs: DataFrame, key: list[str]) -> DataFrame:
     for c in _ODD:
         odd = odd | F.contains("text", F.lit(c))
     text = F.when(odd, F.regexp_replace("text", f"[{_ODD}]", " ")).otherwise(F.col("text"))
-    return docs.select(*key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select(*key, F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line"))  # outer: without it Spark splits twice, to drop empty arrays
 
 
 def _level(n: Column) -> Column:
@@ -70,13 +79,14 @@ def _level(n: Column) -> Column:
 
 
 def rarity(grams: DataFrame) -> tuple[DataFrame, int, int]:
-    """(one row with an array: per counter, the level of the lines it has counted, in the
-    highest byte; the number of counters; the level from which a token stands out)."""
-    n = grams.agg(F.sum(F.size("grams"))).first()[0] or 1
+    """(one row with an array: per counter, the level of the lines it has counted, above
+    the bits of a token; the number of counters; the level from which a token stands
+    out). ``grams`` has each text once, with the number of its ``copies``."""
+    n = grams.agg(F.sum(F.size("grams") * F.col("copies"))).first()[0] or 1
     counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (n // LOAD).bit_length()))
-    counts = grams.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(counters - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = grams.select("copies", F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(counters - 1)).cast("int").alias("b")).agg(F.sum("copies").alias("n"))
     counts = counts.select("b", _level(F.col("n")).alias("x")).unionByName(grams.sparkSession.range(counters).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("tinyint").alias("x")))
-    levels = counts.groupBy("b").agg(F.max("x").alias("x")).agg(F.sort_array(F.collect_list(F.struct("b", F.shiftleft(F.col("x").cast("long"), 56).alias("x"))))["x"].alias("levels"))  # a row per counter
+    levels = counts.groupBy("b").agg(F.max("x").alias("x")).agg(F.sort_array(F.collect_list(F.struct("b", F.shiftleft(F.col("x").cast("long"), BITS - 8).alias("x"))))["x"].alias("levels"))  # a row per counter
     hot = max(HOT, 4 * n // counters)
     return stash(levels, "rarity"), counters, 1 + 4 * (hot.bit_length() - 1)
 
@@ -123,58 +133,60 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     key = list(key)
     at = [*key, "line_no"]
     docs = docs.select(*key, "text").where(" and ".join(f"`{c}` is not null" for c in [*key, "text"]))
-    grams = _lines(docs, key).select(*at, _grams(F.col("line"), short).alias("grams"))
-    grams = stash(grams, "grams", compression="zstd")
-    levels, counters, hot = rarity(grams)
-    rank = lambda lv: F.transform("grams", lambda g: lv[g.bitwiseAND(F.lit(counters - 1).cast("long"))].bitwiseOR(F.shiftrightunsigned(g, 8)))
-
-    def described(set_: Column) -> Column:
-        n = F.size(set_)
-        prefix = F.slice(set_, F.lit(1), n - F.ceil(F.lit(PERCENT) * n / 100).cast("int") + 1)
-        return F.struct(F.xxhash64(set_).alias("k"), set_[0].alias("h"), n.alias("n"), prefix.alias("prefix"))
-
-    lines = grams.where(F.size("grams") > 0).withColumn("levels", levels.scalar())
-    lines = lines.select(*at, _let(F.sort_array(rank(F.col("levels"))), described).alias("x"))
-    lines = stash(lines.select(*at, "x.*"), "lines", compression="zstd")
-    drop_stash(levels, grams)
-    place = F.struct(*at)
-    classes = lines.groupBy("k", "h").agg(F.min(place).alias("at"))
-    lined = lines.join(classes, ["k", "h"]).withColumn("copy", place != F.col("at"))  # lines with equal sets: all but the first
-    lined = stash(lined.select(*at, "n", F.when(~F.col("copy"), F.col("prefix")).alias("prefix")), "classes", compression="zstd")
-    drop_stash(lines)
-    posts = lined.where("prefix is not null").select(*at, "n", F.posexplode("prefix").alias("pos", "token"))
-    over = F.shiftright("token", 56) - F.lit(hot)
-    posts = posts.withColumn("salt", F.when(over <= 0, 0).otherwise(F.pmod(F.xxhash64(*at), F.pow(F.lit(2.0), F.ceil(over / 4)).cast("long"))).cast("int"))
-    by = W.partitionBy("token", "salt")
-    posts = posts.withColumn("many", F.count(F.lit(1)).over(by)).where((F.col("many") > 1) | (over > 0))  # most tokens are a line's own
+    text = _lines(docs, key).withColumn("line", F.lower("line"))
+    text = text.where(F.trim("line") != "" if short else F.size(_words("line")) >= WORDS).withColumn("k", F.xxhash64("line"))
+    same = W.partitionBy("k", "line").orderBy(*at)
+    every = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    text = text.withColumns({"copies": F.count(F.lit(1)).over(every), "nth": F.row_number().over(same)})
+    grams = text.select(*at, "copies", F.when(F.col("nth") == 1, _grams(_words("line"))).alias("grams"))  # of lines with one text, only the first
+    grams = grams.select(*at, "copies", F.when(F.col("grams").isNotNull(), F.size("grams")).alias("n"), "grams")
+    grams = stash(grams, "grams", **PACKED)
+    free_shuffles(docs.sparkSession)
+    lines = grams.where("n is not null")
+    levels, counters, hot = rarity(lines)
+
+    def ranked(g: Column) -> Column:
+        level = F.col("levels")[g.bitwiseAND(F.lit(counters - 1).cast("long"))]
+        return F.coalesce(level.bitwiseOR(F.shiftrightunsigned(g, 8)), F.lit(0).cast("long"))  # never null, which sorts faster
+
+    prefix = F.slice(F.sort_array(F.transform("grams", ranked)), F.lit(1), F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100).cast("int") + 1)
+    posts = lines.withColumn("levels", levels.scalar()).select(*at, "n", prefix.alias("prefix"))
+    posts = posts.select(*at, "n", F.posexplode_outer("prefix").alias("pos", "token"))
+    over = F.shiftright("token", BITS - 8) - F.lit(hot)
+    salt = F.when(over <= 0, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*at), F.pow(F.lit(2.0), F.ceil(over / 4)).cast("long")))
+    # few columns, as most of these rows are dropped after the shuffle; a place over 65535 counts as that, which only drops less
+    np = F.shiftleft(F.col("n").cast("long"), 16).bitwiseOR(F.least("pos", F.lit(0xFFFF)).cast("long"))
+    posts = posts.select(F.shiftleft(salt, BITS).bitwiseOR(F.col("token")).alias("salted"), np.alias("np"), *at[::-1])
+    by = W.partitionBy("salted")
+    posts = posts.withColumn("many", F.count(F.lit(1)).over(by))
+    token = F.col("salted").bitwiseAND(F.lit((1 << BITS) - 1))
+    posts = posts.where((F.col("many") > 1) | (F.shiftright(token, BITS - 8) > hot))  # most tokens are a line's own
+    posts = posts.select(*at, "salted", token.alias("token"), F.shiftright("np", 16).cast("int").alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("pos"))
     order, mine = by.orderBy(*at), F.struct(*at, "n", "pos")
     posts = posts.withColumns({"first": F.first(mine).over(order), "prior": F.lag(mine).over(order)})
-    posts = stash(posts.drop("many", "salt"), "postings")
-    copies = stash(lined.where("prefix is null").select(*at), "copies")
-    drop_stash(lined)
-
-    # the whole sets of the lines that share a prefix token, and of some more
-    marks, may = _marked(posts, at)
-    whole = stash(_lines(docs, key).where(may).select(*at, _grams(F.col("line"), short).alias("set")), "sets", compression="zstd")
-    drop_stash(marks)
+    posts = stash(posts.drop("salted"), "postings")
+    drop_stash(levels)
 
     side = lambda p: [F.col(c).alias(p + c) for c in at]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs that are similar."""
-        p = pairs.join(whole.select(*side("a_"), F.col("set").alias("a")), [f"a_{c}" for c in at])
-        p = p.join(whole.select(*side("b_"), F.col("set").alias("b")), [f"b_{c}" for c in at])
+        pairs = stash(pairs, "pairs")
+        marks, may = _marked(pairs.select(F.explode(F.array(*[F.struct(*[F.col(p + c).alias(c) for c in at]) for p in ("a_", "b_")])).alias("x")).select("x.*"), at)
+        sets = stash(lines.where(may).select(*at, "grams"), "sets", compression="zstd")
+        p = pairs.join(sets.select(*side("a_"), F.col("grams").alias("a")), [f"a_{c}" for c in at])
+        p = p.join(sets.select(*side("b_"), F.col("grams").alias("b")), [f"b_{c}" for c in at])
         both = F.size(F.array_intersect("a", "b"))
         ok = 100 * both >= PERCENT * (F.size("a") + F.size("b") - both)
-        return p.where(ok).select(*[F.col(f"b_{c}").alias(c) for c in at]).distinct()
+        found = stash(p.where(ok).select(*[F.col(f"b_{c}").alias(c) for c in at]).distinct(), "similar")
+        drop_stash(pairs, marks, sets)
+        return found
 
     other = F.explode(F.array("first", "prior")).alias("o")
     near = posts.select(*at, "n", "pos", other).where(F.col("o").isNotNull() & (F.struct(*[F.col(f"o.{c}") for c in at]) != F.struct(*at)))
     room = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
     near = near.where(_similar_size(F.col("n"), F.col("o.n")) & (room >= _need(F.col("n"), F.col("o.n"))))
-    near = near.select(*[F.col(f"o.{c}").alias(f"a_{c}") for c in at], *side("b_"))
-    settled = stash(verified(near.distinct()), "settled")
-    free_shuffles(docs.sparkSession)
+    settled = verified(near.select(*[F.col(f"o.{c}").alias(f"a_{c}") for c in at], *side("b_")).distinct())
     # the others meet all earlier lines under their tokens
     a = posts.select("token", *side("a_"), F.col("n").alias("an"), F.col("pos").alias("ap"))
     b = posts.join(settled, at, "left_anti").select("token", *side("b_"), F.col("n").alias("bn"), F.col("pos").alias("bp"))
@@ -184,8 +196,9 @@ def line_matches(docs: DataFrame, short: bool = False, key: tuple[str, ...] = ("
     met = met.groupBy(*pair, "an", "bn").agg(F.count(F.lit(1)).alias("c"), F.max("ap").alias("ap"), F.max("bp").alias("bp"))
     met = met.where(F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1 >= _need(F.col("an"), F.col("bn")))
     rest = verified(met.select(*pair))
+    copies = grams.where("n is null").select(*at)
     found = stash(copies.unionByName(settled).unionByName(rest), "matches")  # disjoint
-    drop_stash(copies, posts, whole, settled)
+    drop_stash(grams, posts, settled, rest)
     return found
 
 
@@ -224,7 +237,7 @@ def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go, and their numbers from 0."""
     docs = _keyed(table(spark, sf_dir, "documents", "doc_id", "text"))
-    n = docs.select("doc_id", *_KEY, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    n = docs.select("doc_id", *_KEY, F.coalesce(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"))
     d = n.join(_removed(docs, True), list(_KEY), "left")
     numbers = F.coalesce("_gone", F.array().cast("array<int>"))
     return d.select("doc_id", "n_lines", F.size(numbers).cast("long").alias("n_removed"), F.array_join(numbers.cast("array<string>"), ",").alias("removed_lines"))
